@@ -1,0 +1,6 @@
+"""Pages by host."""
+
+from __future__ import annotations
+
+QUERIES = {}
+ORACLES = {}
