@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import chat_format, quality_rules, url_filters
 
 QUERIES = {
+    "op4_chat_format": chat_format.op4_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_url_filters": url_filters.op10_url_filters,
 }
 
 ORACLES = {
+    "op4_chat_format": chat_format.OP4_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "op10_url_filters": url_filters.OP10_SQL,
 }
