@@ -83,3 +83,26 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8; null as empty."""
     column = batch.column(batch.schema.get_field_index(name))
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def appended(df: DataFrame, text: str, fields: str, make: Callable[[pa.RecordBatch, list[bytes]], list[list]], most: int = 4_000_000) -> DataFrame:
+    """``df`` with columns computed in Python from bounded slices of its rows.
+
+    ``make`` gets a slice and its texts as UTF-8 and returns a list for each of ``fields`` (a DDL string).  Columns
+    of ``df`` that have the name of a new one are replaced.  No shuffle: rows stay where they are.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    names = [f.name for f in new]
+    kept = [c for c in df.columns if c not in names]
+    arrow = [(f.name, to_arrow_type(f.dataType)) for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, most):
+            made = make(batch, column_bytes(batch, text))
+            old = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, t) for x, (_, t) in zip(made, arrow, strict=True))], [*kept, *names])
+
+    return df.mapInArrow(run, StructType([*(df.schema[c] for c in kept), *new]))

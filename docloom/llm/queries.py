@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, url_filters
+from . import chat_format, decontaminate, quality_rules, url_filters
 
 QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
 ORACLES = {
     "op4_chat_format": chat_format.OP4_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
 }
