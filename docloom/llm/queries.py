@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, quality_rules, url_filters
+from . import chat_format, decontaminate, quality_classifier, quality_rules, url_filters
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_quality_rules": quality_rules.op8_quality_rules,
