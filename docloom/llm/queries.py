@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, quality_classifier, quality_rules, secret_scan, url_filters
+from . import chat_format, decontaminate, quality_classifier, quality_rules, secret_scan, sentence_pieces, url_filters
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_secret_scan": secret_scan.op7_secret_scan,
