@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, quality_classifier, quality_rules, secret_scan, sentence_pieces, url_filters
+from . import chat_format, decontaminate, near_dedup, quality_classifier, quality_rules, secret_scan, sentence_pieces, url_filters
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
@@ -18,5 +19,6 @@ ORACLES = {
     "op4_chat_format": chat_format.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
 }
