@@ -3,10 +3,11 @@
 1. Every document becomes the set of its distinct word shingles, of which a digest and ``TOKENS`` minwise tokens are
    kept.  Documents with equal sets form a class, represented by its smallest id (counted with map-side partial sums, so
    thousands of copies meet as one row for each task).
-2. Chosen path: in each of ``TREES`` independent trees a class branches from the root into ``BRANCH`` children, each
+2. Chosen path: in each of several independent trees a class branches from the root into ``BRANCH`` children, each
    named by its path and by the minwise token at a position that the path selects.  Nodes above ``SMALL`` classes branch
    again, single ones end.  A pair of similarity s shares BRANCH * s children on average: with 0.85 and two branches it
-   survives a tree of any depth with a chance of 0.969, so four trees miss about one pair in a million.
+   survives a tree of any depth with a chance of 0.969, with 0.8 of 0.9375.  As many trees are grown as bring the share of
+   missed pairs down to ``MISS``: four and five.
 3. Small nodes are compared exhaustively by their tokens, with a margin of five standard deviations, and linked to
    candidate clusters.  Nodes that stay large to the last level are made of documents that agree in that many tokens, and
    become part of a cluster as they are.
@@ -37,7 +38,9 @@ from pyspark.sql import types as T
 from . import common
 from .url_filters import Bloom
 
-TOKENS, TREES, BRANCH, DEPTH, SMALL, BLOCK, PIVOTS = 64, 4, 2, 5, 128, 512, 16
+TOKENS, BRANCH, DEPTH, SMALL, BLOCK, PIVOTS = 64, 2, 5, 128, 512, 16
+#: Share of linked pairs that the trees may miss.
+MISS = 1e-6
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLY = np.random.default_rng(9).integers(1, 2**63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -93,8 +96,16 @@ def _children(nodes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _grow(df: DataFrame, roots: bool) -> DataFrame:
-    """Rows (node, rep) of the next level; ``df`` has rep, tokens and, but for the roots, node."""
+def trees(least: int) -> int:
+    """Independent trees for which a pair of similarity ``least`` percent is missed with a chance of ``MISS`` at most."""
+    s, lost = least / 100, 0.0
+    for _ in range(1000):  # chance that a tree of any depth loses a pair: the fixed point of a branching process
+        lost = (1 - s + s * lost) ** BRANCH
+    return max(1, round(np.log(MISS) / np.log(max(lost, 1e-9))))
+
+
+def _grow(df: DataFrame, roots: int) -> DataFrame:
+    """Rows (node, rep) of the next level; ``df`` has rep, tokens and, unless it is the roots' many, node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +114,7 @@ def _grow(df: DataFrame, roots: bool) -> DataFrame:
             reps = np.asarray(batch.column("rep"))
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
             if roots:
-                grown = [_children(np.full(len(reps), t + 1, np.uint64), tokens) for t in range(TREES)]
+                grown = [_children(np.full(len(reps), t + 1, np.uint64), tokens) for t in range(roots)]
             else:
                 grown = [_children(np.asarray(batch.column("node")).view(np.uint64), tokens)]
             nodes = np.concatenate(grown, 1)
@@ -112,9 +123,9 @@ def _grow(df: DataFrame, roots: bool) -> DataFrame:
     return df.mapInArrow(run, "node bigint, rep bigint")
 
 
-def _leaves(classes: DataFrame) -> DataFrame:
+def _leaves(classes: DataFrame, n_trees: int) -> DataFrame:
     """Rows (node, rep, m) of the nodes in which classes are to be compared; m is the node's size."""
-    leaves, level = None, _grow(classes.select("rep", "tokens"), True)
+    leaves, level = None, _grow(classes.select("rep", "tokens"), n_trees)
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
         kept = common.checkpointed(level.join(sizes, "node"))
@@ -123,7 +134,7 @@ def _leaves(classes: DataFrame) -> DataFrame:
         large = kept.where(F.col("m") > SMALL)
         if depth == DEPTH or large.isEmpty():
             break
-        level = _grow(large.select("node", "rep").join(classes.select("rep", "tokens"), "rep"), False)
+        level = _grow(large.select("node", "rep").join(classes.select("rep", "tokens"), "rep"), 0)
     return leaves
 
 
@@ -298,7 +309,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     rows = common.checkpointed(sketch(docs, doc_id, text, size))
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
     classes = common.checkpointed(classes)
-    compared = _leaves(classes)
+    compared = _leaves(classes, trees(least))
     small = compared.where(F.col("m") <= SMALL).select("node", "rep").join(classes.select("rep", "n", "tokens"), "rep")
     stars = compared.where(F.col("m") > SMALL)
     stars = stars.join(stars.groupBy("node").agg(F.min("rep").alias("low")), "node").select(F.col("rep").alias("u"), F.col("low").alias("v"))
