@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -106,3 +108,17 @@ def appended(df: DataFrame, text: str, fields: str, make: Callable[[pa.RecordBat
             yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, t) for x, (_, t) in zip(made, arrow, strict=True))], [*kept, *names])
 
     return df.mapInArrow(run, StructType([*(df.schema[c] for c in kept), *new]))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: compressed, and safe from the loss of executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/docloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Key and rows of each group, from rows sorted by ``keys``; one batch is held at a time."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    return itertools.groupby(rows, key=lambda row: tuple(row[k] for k in keys))

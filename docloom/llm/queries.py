@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, near_dedup, quality_classifier, quality_rules, secret_scan, sentence_pieces, url_filters
+from . import chat_format, decontaminate, near_dedup, quality_classifier, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filters
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_secret_scan": secret_scan.op7_secret_scan,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
