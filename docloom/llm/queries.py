@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, near_dedup, quality_classifier, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filters
+from . import chat_format, decontaminate, near_dedup, pitman_yor, quality_classifier, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filters
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_pitman_yor": pitman_yor.op6_pitman_yor,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dedup": near_dedup.op9_near_dedup,
