@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import hosts
+from docloom.plans import crawling, urls
 
-QUERIES = dict(hosts.QUERIES)
-ORACLES = dict(hosts.ORACLES)
+MODULES = (urls, crawling)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
