@@ -10,12 +10,13 @@
    missed pairs down to ``MISS``: four and five.
 3. Small nodes are compared exhaustively by their tokens, with a margin of five standard deviations, and linked to
    candidate clusters.  Nodes that stay large to the last level are made of documents that agree in that many tokens, and
-   become part of a cluster as they are.
+   become part of a cluster as they are.  So do dense ones, large nodes that keep most of their parent's classes.
 4. Links are confirmed on full sets, ``100 * intersection >= least * union``, inside clusters: pairs that are already
    connected are skipped, and only spanning links are emitted.  A cluster above ``BLOCK`` classes is dealt to blocks that
    also get its pivots; then what did not join the largest component is compared with all blocks.  No link between
    different texts is lost inside a cluster, and no task holds more than two blocks.
-5. Components come from alternating large-star and small-star rounds, written to the shared checkpoint folder.
+5. Components come from spanning links: one task contracts up to a million, more go through alternating large-star and
+   small-star rounds.  Every step is written to the shared checkpoint folder.
 
 Only documents in clusters have their full sets computed again; a Bloom filter of at most 2 MB keeps the other
 texts out of the shuffle.
@@ -38,7 +39,11 @@ from pyspark.sql import types as T
 from . import common
 from .url_filters import Bloom
 
-TOKENS, BRANCH, DEPTH, SMALL, BLOCK, PIVOTS = 64, 2, 5, 128, 512, 16
+TOKENS, BRANCH, DEPTH, SMALL, BLOCK, PIVOTS = 64, 2, 12, 128, 512, 16
+#: A large node that keeps this part of its parent is dense: branching does not tell its classes apart.
+DENSE = 0.6
+#: Links that one task joins at once, 16 bytes each; more go through distributed rounds.
+FEW_LINKS = 1_000_000
 #: Share of linked pairs that the trees may miss.
 MISS = 1e-6
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -105,7 +110,7 @@ def trees(least: int) -> int:
 
 
 def _grow(df: DataFrame, roots: int) -> DataFrame:
-    """Rows (node, rep) of the next level; ``df`` has rep, tokens and, unless it is the roots' many, node."""
+    """Rows (node, rep, above) of the next level; ``df`` has rep, tokens and, unless it is the roots' many, node and its size m (above)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,23 +123,25 @@ def _grow(df: DataFrame, roots: int) -> DataFrame:
             else:
                 grown = [_children(np.asarray(batch.column("node")).view(np.uint64), tokens)]
             nodes = np.concatenate(grown, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(np.repeat(reps, nodes.shape[1]))], ["node", "rep"])
+            above = pa.nulls(nodes.size, pa.int64()) if roots else pa.array(np.repeat(np.asarray(batch.column("m")), nodes.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(np.repeat(reps, nodes.shape[1])), above], ["node", "rep", "above"])
 
-    return df.mapInArrow(run, "node bigint, rep bigint")
+    return df.mapInArrow(run, "node bigint, rep bigint, above bigint")
 
 
 def _leaves(classes: DataFrame, n_trees: int) -> DataFrame:
     """Rows (node, rep, m) of the nodes in which classes are to be compared; m is the node's size."""
     leaves, level = None, _grow(classes.select("rep", "tokens"), n_trees)
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-        kept = common.checkpointed(level.join(sizes, "node"))
-        ends = kept if depth == DEPTH else kept.where(F.col("m") <= SMALL)
+        sizes = level.groupBy("node").agg(F.count("*").alias("m"), F.min("above").alias("above")).where("m > 1")
+        kept = common.checkpointed(level.select("node", "rep").join(sizes, "node"))
+        go = (F.col("m") > SMALL) & (F.col("above").isNull() | (F.col("m") < DENSE * F.col("above"))) & F.lit(depth < DEPTH)
+        ends = kept.where(~go).select("node", "rep", "m")
         leaves = ends if leaves is None else leaves.unionByName(ends)
-        large = kept.where(F.col("m") > SMALL)
-        if depth == DEPTH or large.isEmpty():
+        large = kept.where(go)
+        if large.isEmpty():
             break
-        level = _grow(large.select("node", "rep").join(classes.select("rep", "tokens"), "rep"), 0)
+        level = _grow(large.select("node", "rep", "m").join(classes.select("rep", "tokens"), "rep"), 0)
     return leaves
 
 
@@ -264,12 +271,33 @@ def _confirmed(least: int) -> Callable[[pa.Table], list[tuple[int, int]]]:
     return compare
 
 
-def components(links: DataFrame) -> DataFrame:
+def _stars(links: DataFrame) -> DataFrame:
+    """Links of each partition, contracted to one star for each of its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([np.asarray(b.column("u")), np.asarray(b.column("v"))], 1) for b in batches if b.num_rows]
+        if held:
+            nodes, place = np.unique(np.concatenate(held), return_inverse=True)
+            forest = Forest(len(nodes))
+            for a, b in place.reshape(-1, 2).tolist():
+                forest.join(a, b)
+            roots = np.array([forest.root(i) for i in range(len(nodes))])
+            far = np.flatnonzero(roots != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[roots[far]])], ["u", "v"])
+
+    return links.select("u", "v").mapInArrow(run, "u bigint, v bigint")
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(u, v): for each node of the links but the smallest of a component, that smallest one.
 
-    Alternating large-star and small-star rounds; minima are aggregated before the shuffle, and the joins back are plain
-    equi-joins whose large keys adaptive execution can split.
+    Up to ``few`` links, some 16 MB, are contracted by one task.  More go through alternating large-star and small-star
+    rounds: minima are aggregated before the shuffle, and the joins back are plain equi-joins whose large keys adaptive
+    execution can split.
     """
+    links = common.checkpointed(links.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")))
+    if links.count() <= few:
+        return common.checkpointed(_stars(links.coalesce(1)))
     state = None
     e = common.checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while True:
