@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.base import let
+
 
 def precision(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     """True and false positives, positives missed, precision and coverage."""
@@ -67,9 +69,9 @@ def bootstrap(df: DataFrame, key: str, correct: str, rounds: int = 100) -> DataF
 
     Rows stay where they are; each task adds up ``rounds`` pairs of sums.
     """
-    u = lambda b: F.pmod(F.xxhash64(F.col(key), F.lit(b)), F.lit(1 << 20)) / float(1 << 20)
-    edges = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340)
-    weight = lambda b: sum(((u(b) >= e).cast("int") for e in edges), F.lit(0))
-    drawn = df.select(F.col(correct).cast("double").alias("c"), F.array(*(weight(b) for b in range(rounds))).alias("w")).select("c", F.posexplode("w").alias("round", "w"))
+    edges = F.array(*map(F.lit, (0.367879, 0.735759, 0.919699, 0.981012, 0.996340)))  # cumulative Poisson(1)
+    u = lambda b: F.pmod(F.xxhash64(F.col(key), b), F.lit(1 << 20)) / float(1 << 20)
+    weights = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda b: let(u(b), lambda x: F.size(F.filter(edges, lambda e: x >= e))))
+    drawn = df.select(F.col(correct).cast("double").alias("c"), F.posexplode(weights).alias("round", "w"))
     means = drawn.groupBy("round").agg(F.try_divide(F.sum(F.col("c") * F.col("w")), F.sum("w").cast("double")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.base import let
 from docloom.functions.text import padded
 
 # Node and edge types.
@@ -21,9 +22,9 @@ def mentions(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     aliases = lexicon.select("entity_id", "entity_type", F.trim(padded("alias")).alias("gram")).where("gram <> ''").distinct()
     sizes = [r[0] for r in aliases.select(F.size(F.split("gram", " "))).distinct().collect()]  # a few lengths of phrases
+    grams = lambda n: lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
     tokens = F.split(F.trim(padded("sentence")), " ", -1)
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")) for n in sizes]
-    every = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
+    every = let(tokens, lambda t: F.array_distinct(F.concat(*(grams(n)(t) for n in sizes)))) if sizes else F.array().cast("array<string>")
     return sentences.select("doc_id", "sentence_id", "sentence", F.explode(every).alias("gram")).join(aliases, "gram")
 
 
