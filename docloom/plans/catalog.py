@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import crawling, texts, urls
+from docloom.plans import crawling, series, streams, texts, urls
 
-MODULES = (urls, crawling, texts)
+MODULES = (urls, crawling, texts, series, streams)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
