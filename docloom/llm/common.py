@@ -122,3 +122,17 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     """Key and rows of each group, from rows sorted by ``keys``; one batch is held at a time."""
     rows = (row for batch in batches for row in batch.to_pylist())
     return itertools.groupby(rows, key=lambda row: tuple(row[k] for k in keys))
+
+
+def bucket_count(size: int) -> int:
+    """Buckets for a table of so many bytes: 8 to 128 MB each, and no more buckets than Spark takes."""
+    return max(1, min(100_000, -(-size // min(128_000_000, max(8_000_000, size // 500)))))
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``: joins by it do not shuffle the table again."""
+    spark = df.sparkSession
+    name = f"docloom_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)

@@ -1,7 +1,7 @@
 """Substring dedup: words inside windows that occur elsewhere are removed, with a count-min prefilter.
 
-1. Texts are cut into chunks of whole documents, written to the shared folder once, so that every later pass sees the
-   same chunks.
+1. Texts are cut into chunks of whole documents and written once, to a table in the shared folder that is bucketed by
+   chunk: every later pass sees the same chunks, and joining them with their answers moves no text.
 2. Sketch pass: every window of ``WINDOW`` words is hashed.  Tasks count the windows of a few million words in ``ROWS``
    count-min rows with counters that stop at two, and send the touched cells, sorted and delta-coded (about a byte for
    each window and row).  Cells are merged block by block.  Merged, a cell says "twice or more".
@@ -167,9 +167,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         for k, batch in enumerate(common.slices(batches, "text", CHUNK)):
             yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([common.column_bytes(batch, "text")], pa.list_(pa.binary()))], ["chunk", "ids", "texts"])
 
-    chunks = common.written(rows.mapInArrow(cut, "chunk bigint, ids array<bigint>, texts array<binary>"))
-    # Words have some six bytes with the blank behind them; the sketch gets four cells a row for each.
-    n = chunks.select(F.coalesce(F.sum(F.aggregate("texts", F.lit(0).cast("bigint"), lambda acc, t: acc + F.octet_length(t))), F.lit(0))).first()[0] // 6
+    total = rows.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = common.bucketed(rows.mapInArrow(cut, "chunk bigint, ids array<bigint>, texts array<binary>"), "chunk", common.bucket_count(total))
+    n = total // 6  # words have some six bytes with the blank behind them; the sketch gets four cells a row for each
     bits = min(max(16, int(4 * n).bit_length()), (MAX_BITS // ROWS).bit_length() - 1)
     merged = bytearray((ROWS << bits) // 8)
     for r in _merge(_sketch(chunks, size, bits), bits).toLocalIterator():  # MAX_BITS / 8 bytes at most
