@@ -11,8 +11,8 @@ tables, rounded at random.  Random numbers are hashes of restaurant, dish, sweep
 needs a block's seating draws the same one, and a repeated task changes nothing.  Each sweep after the burn-in
 gives predictive probabilities; they are averaged for each token, and the score is the sum of their logarithms.
 
-Counts and seatings are spread over the cluster.  Texts lie in chunks of whole documents, in a table bucketed by
-chunk, so that joining a chunk with its answers moves no text.  A chunk asks for its distinct words and word pairs: sorted
+Counts and seatings are spread over the cluster.  Texts lie as token numbers in chunks of whole documents, in a table
+bucketed by chunk, so that joining a chunk with its answers moves no text.  A chunk asks for its distinct words and word pairs: sorted
 hashes go to buckets by range, buckets add up all chunks and answer in the order asked.  A hot word or pair is one entry a chunk, however often it
 occurs.  One of the chunks that hold a pair owns it and reports its tables.  The driver keeps totals only.
 
@@ -22,7 +22,7 @@ scored one by one; an empty table gives no rows; without training rows all words
 
 from __future__ import annotations
 
-import uuid
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 START, END = 0, 1  # hashes of the context before a text and of the token after it
-CHUNK, PER_TASK = 6_000_000, 24_000_000
+CHUNK = 4_000_000
+SUMS = 6
 WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 2_000_000, 1_000_000
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 SWEEPS, BURN_IN = 2, 0
@@ -71,44 +72,52 @@ def _ranges(keys: np.ndarray, buckets: int, bits: int = 64) -> list[int]:
     return np.searchsorted(keys, np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(keys)]
 
 
+def tokenized(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, the distinct hashes (ascending) of a chunk, and the place of each token among them.
+
+    A text is its start, its words and its end.
+    """
+    words = [t.translate(_LOWER).split() for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(n + 2)
+    hashes = np.full(int(ends[-1]) if len(ends) else 0, START, np.uint64)
+    body = np.ones(len(hashes), bool)
+    body[ends - 1] = body[ends - n - 2] = False
+    hashes[body] = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(words)), np.uint64, int(n.sum()))
+    hashes[ends - 1] = END
+    return n, *np.unique(hashes, return_inverse=True)
+
+
 class Chunk:
     """Words and pairs of a chunk of documents."""
 
-    def __init__(self, train: list[bool], texts: list[bytes], bits: int):
-        words = [t.translate(_LOWER).split() for t in texts]
-        n = np.fromiter(map(len, words), np.int64, len(words))
+    def __init__(self, train: list[bool], n: np.ndarray, words: np.ndarray, place: np.ndarray, bits: int):
         ends = np.cumsum(n + 2)
-        hashes = np.full(int(ends[-1]) if len(ends) else 0, START, np.uint64)
-        body = np.ones(len(hashes), bool)
-        body[ends - 1] = body[ends - n - 2] = False
-        hashes[body] = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, int(n.sum()))
-        hashes[ends - 1] = END
         self.n_tokens = n + 1
-        self.doc = np.repeat(np.arange(len(words)), n + 1)
-        self.words, place = np.unique(hashes, return_inverse=True)
-        token = np.ones(len(hashes), bool)
+        self.doc = np.repeat(np.arange(len(n)), n + 1)
+        self.words = words
+        token = np.ones(len(place), bool)
         token[ends - n - 2] = False
         at = np.flatnonzero(token)
         self.word, before = place[at], place[at - 1]
         self.train = np.repeat(np.array(train, bool), n + 1)
         # A text's start is counted as a context, as often as texts end.
-        self.count = np.bincount(self.word[self.train], minlength=len(self.words))
-        if len(self.words):
+        self.count = np.bincount(self.word[self.train], minlength=len(words))
+        if len(words):
             self.count[0] = sum(train)
-        pairs, self.pair = np.unique(before * len(self.words) + self.word, return_inverse=True)
-        self.u, self.w = pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
+        pairs, self.pair = np.unique(before * len(words) + self.word, return_inverse=True)
+        self.u, self.w = pairs // max(1, len(words)), pairs % max(1, len(words))
         with np.errstate(over="ignore"):
-            keys = _mix(_mix(self.words[self.u] + np.uint64(0x632BE59BD9B4E019)) ^ self.words[self.w]) >> np.uint64(64 - bits)
-        self.order = np.argsort(keys, kind="stable")
+            keys = _mix(_mix(words[self.u] + np.uint64(0x632BE59BD9B4E019)) ^ words[self.w]) >> np.uint64(64 - bits)
+        self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.pair_count = np.bincount(self.pair[self.train], minlength=len(pairs))
 
 
 def _chunks(docs: DataFrame, doc_id: str, text: str, held_out: Callable[[int], bool]) -> tuple[DataFrame, int, int]:
-    """Table of chunks, its number of buckets and the bytes of text."""
-    spark = docs.sparkSession
+    """Table of chunks as token numbers, its number of buckets and the bytes of text."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    size = rows.select(F.coalesce(F.sum(F.octet_length("text") + 2), F.lit(0))).first()[0]
+    size = rows.select(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 2), F.lit(0))).first()[0]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -117,9 +126,9 @@ def _chunks(docs: DataFrame, doc_id: str, text: str, held_out: Callable[[int], b
 
         def made() -> pa.RecordBatch:
             ids = [i for i, _ in held]
-            train = [i is None or not held_out(i) for i in ids]
-            sizes = np.array([len(t) for _, t in held], np.int64).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([sizes]), pa.array([zlib.compress(b"".join(t for _, t in held), 1)])], ["chunk", "ids", "train", "sizes", "texts"])
+            n, words, place = tokenized([t for _, t in held])
+            row = {"chunk": task << 32 | k, "ids": ids, "train": [i is None or not held_out(i) for i in ids], "n": pack(n), "words": words.tobytes(), "tokens": zlib.compress(pack(place), 1)}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("n", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())]))
 
         for batch in common.slices(batches, "text", CHUNK):
             for row in zip(batch.column("id").to_pylist(), common.column_bytes(batch, "text"), strict=True):
@@ -132,35 +141,27 @@ def _chunks(docs: DataFrame, doc_id: str, text: str, held_out: Callable[[int], b
         if held:
             yield made()
 
-    buckets = max(1, -(-size // PER_TASK))
-    return _bucketed(rows.mapInArrow(cut, "chunk bigint, ids array<bigint>, train array<boolean>, sizes binary, texts binary"), buckets), buckets, size
-
-
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by chunk: joins by chunk need no shuffle."""
-    spark = df.sparkSession
-    name = f"docloom_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", f"{common.shared_dir(spark).rstrip('/')}/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name)
+    buckets = common.bucket_count(size)
+    return common.bucketed(rows.mapInArrow(cut, "chunk bigint, ids array<bigint>, train array<boolean>, n binary, words binary, tokens binary"), "chunk", buckets), buckets, size
 
 
 def _answered(asked: DataFrame, answer: Callable[[list[dict]], tuple[list[bytes], list[int]]], buckets: int) -> tuple[DataFrame, list[int]]:
     """Ask the buckets; the answers by chunk, and the buckets' totals.
 
-    ``answer`` gets what all chunks ask of one bucket, a bounded range of keys, and returns a payload for each and up to four sums.
+    ``answer`` gets what all chunks ask of one bucket, a bounded range of keys, and returns a payload for each and up to ``SUMS`` sums.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in common.grouped(batches, ["bucket"]):
             held = list(rows)
             payloads, sums = answer(held)
-            totals = [(sums + [0] * 4)[:4]] + [[0] * 4] * (len(held) - 1)
+            totals = [(sums + [0] * SUMS)[:SUMS]] + [[0] * SUMS] * (len(held) - 1)
             yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(payloads, pa.binary()), pa.array(totals, pa.list_(pa.int64()))], ["chunk", "bucket", "payload", "sums"])
 
     done = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk bigint, bucket int, payload binary, sums array<bigint>")
-    total = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(4)]
-    table = _bucketed(done.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "payload"))).alias("answers"), *total), buckets)
-    row = table.agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in range(4))).first()
+    total = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(SUMS)]
+    table = common.bucketed(done.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "payload"))).alias("answers"), *total), "chunk", buckets)
+    row = table.agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in range(SUMS))).first()
     return table.select("chunk", "answers"), list(row)
 
 
@@ -170,24 +171,23 @@ def _join(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
     return chunks
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def _rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[dict, Chunk]]:
+    """Rows one by one, with their chunks."""
     for batch in batches:
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            data, sizes = zlib.decompress(row["texts"]), np.frombuffer(row["sizes"], np.int64)
-            ends = np.cumsum(sizes).tolist()
-            row["texts"] = [data[e - s : e] for e, s in zip(ends, sizes.tolist(), strict=True)]
-            yield row
+            (row,) = batch.slice(k, 1).to_pylist()
+            place = unpack(zlib.decompress(row.pop("tokens"))).astype(np.int64)
+            yield row, Chunk(row["train"], unpack(row["n"]).astype(np.int64), np.frombuffer(row.pop("words"), np.uint64), place, bits)
 
 
 ASKED = "bucket int, chunk bigint, keys binary, count binary, more binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("count", pa.binary()), ("more", pa.binary())])
 
 
-def _ask(chunk: int, edges: list[int], keys: np.ndarray, count: np.ndarray, more: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row for each bucket of which the chunk has keys; keys are sent as differences."""
+def _ask(chunk: int, edges: list[int], keys: np.ndarray, count: np.ndarray, more: np.ndarray | None = None, shift: int = 0) -> pa.RecordBatch:
+    """A row for each bucket (numbered from ``shift``) of which the chunk has keys; keys are sent as differences."""
     out = [
-        {"bucket": b, "chunk": chunk, "keys": pack(np.diff(keys[x:y], prepend=keys.dtype.type(0))), "count": pack(count[x:y]), "more": None if more is None else pack(more[x:y])}
+        {"bucket": b + shift, "chunk": chunk, "keys": pack(np.diff(keys[x:y], prepend=keys.dtype.type(0))), "count": pack(count[x:y]), "more": None if more is None else pack(more[x:y])}
         for b, (x, y) in enumerate(zip(edges, edges[1:]))
         if x < y
     ]
@@ -337,18 +337,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     bits = min(64, 24 + tokens.bit_length())  # so a pair shares its hash with another one with a chance of 2 ** -24
     n_words, n_pairs = max(1, tokens // WORDS_PER_BUCKET), max(1, tokens // PAIRS_PER_BUCKET)
 
-    def ask_words(batches):
-        for r in _rows(batches):
-            c = Chunk(r["train"], r["texts"], bits)
+    def ask(batches):
+        for r, c in _rows(batches, bits):
             yield _ask(r["chunk"], _ranges(c.words, n_words), c.words, c.count)
+            yield _ask(r["chunk"], _ranges(c.keys, n_pairs, bits), c.keys, c.pair_count[c.order], shift=n_words)
 
-    def ask_pairs(batches):
-        for r in _rows(batches):
-            c = Chunk(r["train"], r["texts"], bits)
-            yield _ask(r["chunk"], _ranges(c.keys, n_pairs, bits), c.keys, c.pair_count[c.order])
+    def answer(rows):
+        if rows[0]["bucket"] < n_words:
+            return _answer_words(rows)
+        payloads, sums = _answer_pairs(rows)
+        return payloads, [0] * 4 + sums
 
-    words, (total, distinct, once, twice) = _answered(chunks.mapInArrow(ask_words, ASKED), _answer_words, buckets)
-    pairs, (pairs_once, pairs_twice, *_) = _answered(chunks.mapInArrow(ask_pairs, ASKED), _answer_pairs, buckets)
+    counts, (total, distinct, once, twice, pairs_once, pairs_twice) = _answered(chunks.mapInArrow(ask, ASKED), answer, buckets)
     clip = lambda a, b: min(0.95, max(0.1, a / max(1, a + 2 * b)))
     discount = clip(pairs_once, pairs_twice)
     first = {"discount": clip(once, twice), "uniform": 1 / (distinct + 1), "tables": distinct, "customers": 0}
@@ -356,11 +356,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
 
     def replay(r, c, known, each=None) -> Seated:
         """The seating after the last answer; ``each`` sees every sample together with the words' tables of its sweep."""
-        s = Seated(c, r["a0"] or [], r["a1"] or [], discount)
+        s = Seated(c, [a for a in r["a0"] if a["bucket"] < n_words], [a for a in r["a0"] if a["bucket"] >= n_words], discount)
         for k, root in enumerate(known):
             if k:
                 s.sweep(k)
-            s.hear(r[f"a{k + 2}"], root)
+            s.hear(r[f"a{k + 1}"], root)
             if each is not None:
                 each(k, s)
         return s
@@ -369,27 +369,25 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
         known = list(roots[1:])
 
         def tell(batches, known=known):
-            for r in _rows(batches):
-                c = Chunk(r["train"], r["texts"], bits)
+            for r, c in _rows(batches, bits):
                 s = replay(r, c, known)
                 if known:
                     s.sweep(len(known))
                 contexts, dishes = s.told()
                 ids = np.concatenate(s.ids)
                 edges = np.zeros(n_words + 1, np.int64)
-                for a, i in zip(r["a0"], s.ids, strict=True):
+                for a, i in zip(r["a0"], s.ids):  # words come before pairs
                     edges[a["bucket"] + 1] = len(i)
                 yield _ask(r["chunk"], np.cumsum(edges).tolist(), ids, contexts, dishes)
 
-        asked = _join(chunks, words, pairs, *answers).mapInArrow(tell, ASKED)
+        asked = _join(chunks, counts, *answers).mapInArrow(tell, ASKED)
         table, (customers, tables, *_) = _answered(asked, _answer_tables(roots[-1], k), buckets)
         answers.append(table)
         roots.append(first | {"customers": customers, "tables": tables})
     known = list(roots[1:])
 
     def judge(batches):
-        for r in _rows(batches):
-            c = Chunk(r["train"], r["texts"], bits)
+        for r, c in _rows(batches, bits):
             samples: list[np.ndarray] = []
             s = replay(r, c, known, lambda k, s, samples=samples: samples.append(s.predictive()) if k > BURN_IN else None)
             mean = sum(samples) / len(samples)
@@ -402,7 +400,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
                 pa.array(base), pa.array(logs), pa.array(10 ** np.minimum(300.0, -logs / c.n_tokens)),
             ], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return _join(chunks, words, pairs, *answers).mapInArrow(judge, "id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+    return _join(chunks, counts, *answers).mapInArrow(judge, "id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

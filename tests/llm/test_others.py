@@ -155,7 +155,7 @@ def test_language_model(spark, monkeypatch):
 def test_predictions_add_up_to_one():
     """One chunk, seated locally: the probabilities of all words and the unknown one after a context sum to one."""
     texts = [t.encode() for t in lm_docs()[5:]]
-    chunk = py.Chunk([True] * len(texts), texts, 60)
+    chunk = py.Chunk([True] * len(texts), *py.tokenized(texts), 60)
     rows = [{"keys": py.pack(np.diff(chunk.words, prepend=np.uint64(0))), "count": py.pack(chunk.count)}]
     words, (_, distinct, once, twice) = py._answer_words(rows)
     pairs, _ = py._answer_pairs([{"keys": py.pack(np.diff(chunk.keys, prepend=np.uint64(0))), "count": py.pack(chunk.pair_count[chunk.order])}])
