@@ -12,7 +12,7 @@
    candidate clusters.  Nodes that stay large to the last level are made of documents that agree in that many tokens, and
    become part of a cluster as they are.  So do dense ones, large nodes that keep most of their parent's classes.
 4. Links are confirmed on full sets, ``100 * intersection >= least * union``, inside clusters: pairs that are already
-   connected are skipped, and only spanning links are emitted.  A cluster above ``BLOCK`` classes is dealt to blocks that
+   connected are skipped, and only spanning links are emitted.  A cluster above ``BLOCK`` shingles is dealt to blocks that
    also get its pivots; then what did not join the largest component is compared with all blocks.  No link between
    different texts is lost inside a cluster, and no task holds more than two blocks.
 5. Components come from spanning links: one task contracts up to a million, more go through alternating large-star and
@@ -39,7 +39,9 @@ from pyspark.sql import types as T
 from . import common
 from .url_filters import Bloom
 
-TOKENS, BRANCH, DEPTH, SMALL, BLOCK, PIVOTS = 64, 2, 12, 128, 512, 16
+TOKENS, BRANCH, DEPTH, SMALL, PIVOTS = 64, 2, 12, 128, 16
+#: Shingles of one block of a large cluster.
+BLOCK = 500_000
 #: A large node that keeps this part of its parent is dense: branching does not tell its classes apart.
 DENSE = 0.6
 #: Links that one task joins at once, 16 bytes each; more go through distributed rounds.
@@ -244,16 +246,13 @@ def _confirmed(least: int) -> Callable[[pa.Table], list[tuple[int, int]]]:
         posts = owner[order]
         starts = np.searchsorted(token[order], np.arange(token.max() + 2))
         ends = np.cumsum(n)
-        forest, out, first = Forest(m), [], {}
-        for i, c in enumerate(comp):
-            if c is not None and first.setdefault(c, i) != i:
-                forest.join(first[c], i)
+        out, first = [], {}
+        label = np.array([i if c is None else first.setdefault(c, i) for i, c in enumerate(comp)])  # component of each set
         some = [i for i in range(m) if side[i]] or range(m)
         sides = np.array(side)
         two = bool(sides.any())
         for i in some:
-            roots = np.array([forest.root(k) for k in range(m)])
-            others = roots != roots[i]
+            others = label != label[i]
             if two:
                 others &= sides == 0
             if not others.any():
@@ -264,7 +263,8 @@ def _confirmed(least: int) -> Callable[[pa.Table], list[tuple[int, int]]]:
             at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             both = np.bincount(posts[at], minlength=m)
             for j in np.flatnonzero(others & (100 * both >= least * (n + n[i] - both))).tolist():
-                if forest.join(i, j):
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
                     out.append((reps[i], reps[j]))
         return out
 
@@ -343,9 +343,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     stars = stars.join(stars.groupBy("node").agg(F.min("rep").alias("low")), "node").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     clusters = _members(_by_group(small, ["node"], _candidates(least)).unionByName(stars))
 
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
-    members = clusters.join(sizes, "cluster").join(classes.select("rep", "digest"), "rep").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    members = common.checkpointed(members.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).select("rep", "digest", "cluster", "blocks", "block"))
+    members = common.checkpointed(clusters.join(classes.select("rep", "digest", "n"), "rep"))
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    members = common.checkpointed(members.select("rep", "digest", "n", "cluster", "blocks", "block"))
     held = common.checkpointed(_sets(docs, members, doc_id, text, size))
 
     plain = held.select("cluster", "block", "rep", "items", F.lit(None).cast("bigint").alias("comp"), F.lit(0).alias("side"))
@@ -364,7 +365,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
         state = common.checkpointed(state.join(largest, "cluster"))
         rest = state.where("comp <> main")
         if not rest.isEmpty():
-            chunks = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+            chunks = rest.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks"))
             rest = rest.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit("rest")), "chunks").cast("int"))
             left = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             right = state.join(chunks, "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

