@@ -36,6 +36,8 @@ MARK, LITERAL = "▁", "\ud800"  # a lone surrogate cannot occur in UTF-8 text
 LONGEST = 48
 #: Segments whose pieces a worker remembers.
 CACHE = 600_000
+#: Bits of a hash that a first look compares, and of the table of seams that were decided before.
+SHORT, SEAMS = 20, 20
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NORMAL, _BYTE = 1, 6
@@ -111,6 +113,9 @@ class Model:
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], np.fromiter(usable.values(), np.int64, len(usable))[order]
         assert len(np.unique(self.keys)) == len(self.keys)
+        # Most substrings are no pieces; this table of the hashes' upper bits tells so with one look.
+        self.maybe = np.zeros(1 << SHORT, bool)
+        self.maybe[self.keys >> np.uint64(64 - SHORT)] = True
 
     def _hash(self, piece: str) -> np.uint64:
         codes = np.array([ord(c) + 1 for c in piece], np.uint64)
@@ -166,8 +171,22 @@ class Model:
         return (two if len(out) == 1 else out) if last else out
 
     def _follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging keeps each pair of ranks apart: undo merges at the seam, latest first, and look for an earlier one across it."""
-        a, b = a.copy(), b.copy()
+        """Whether merging keeps each pair of ranks apart.  Decided pairs are remembered in a direct-mapped table."""
+        if not hasattr(self, "seams"):
+            self.seams = np.full(1 << SEAMS, -1, np.int64)  # 2 * pair + verdict
+        pair = a * self.n_ranks + b
+        slot = ((pair.astype(np.uint64) * _BASE) >> np.uint64(64 - SEAMS)).astype(np.int64)
+        known = self.seams[slot]
+        good = (known & 1).astype(bool)
+        new = np.flatnonzero(known >> 1 != pair)
+        if len(new):
+            verdict = self._keeps_apart(a[new], b[new])
+            good[new] = verdict
+            self.seams[slot[new]] = pair[new] * 2 + verdict
+        return good
+
+    def _keeps_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Undo merges at the seam, latest first, and look for an earlier one across it."""
         good = np.ones(len(a), bool)
         limit = np.full(len(a), np.iinfo(np.int64).max)
         at = np.arange(len(a))
@@ -188,7 +207,7 @@ class Model:
     def _viterbi(self, words: list[str]) -> list[list[int]]:
         """Pieces of words of one length; characters without a piece are given as -1 - code point."""
         n, size = len(words), len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64)
+        chars = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T).astype(np.uint64) + np.uint64(1)
         best = np.full((size + 1, n), -np.inf, np.float32)
         best[0] = 0
         start, piece = np.zeros((size + 1, n), np.int32), np.full((size + 1, n), -1, np.int64)
@@ -198,17 +217,17 @@ class Model:
                 h = np.zeros(n, np.uint64)
                 for m in range(1, min(i, self.longest) + 1):
                     j = i - m
-                    codes = chars[rows, j]
-                    h = h + (codes + np.uint64(1)) * self.power[m - 1]
-                    k = np.searchsorted(self.keys, h)
+                    h = h + chars[j][rows] * self.power[m - 1]
+                    at = np.flatnonzero(self.maybe[h >> np.uint64(64 - SHORT)])
+                    k = np.searchsorted(self.keys, h[at])
                     k[k == len(self.keys)] = 0
-                    found = self.keys[k] == h
+                    found = self.keys[k] == h[at]
                     if m == 1:
-                        ids = np.where(found, self.key_ids[k], -1 - codes.astype(np.int64))
+                        ids = -chars[j].astype(np.int64)  # one was added to the code points
+                        ids[at[found]] = self.key_ids[k[found]]
                         at = rows
                     else:
-                        at = np.flatnonzero(found)
-                        ids = self.key_ids[k[at]]
+                        at, ids = at[found], self.key_ids[k[found]]
                     here = rows[at]
                     if self.bpe:
                         if j:
@@ -279,10 +298,10 @@ class Model:
                 blanks.append(self.ids[MARK * size])
                 run -= size
             ids = blanks + ids
-        out: list[int] = []
-        for i in ids:
-            out.extend([i] if i >= 0 else [self.byte[b] for b in (MARK if -1 - i == ord(LITERAL) else chr(-1 - i)).encode()])
-        return np.array(out, np.int32).tobytes()
+        out = ids
+        if min(ids, default=0) < 0:
+            out = [x for i in ids for x in ([i] if i >= 0 else [self.byte[b] for b in (MARK if -1 - i == ord(LITERAL) else chr(-1 - i)).encode()])]
+        return struct.pack(f"<{len(out)}i", *out)
 
     def encode(self, texts: list[str], cache: dict[str, bytes] | None = None) -> list[np.ndarray]:
         """Piece ids of texts."""
