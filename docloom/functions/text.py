@@ -112,3 +112,30 @@ def publish_date(meta: Column | str, body: Column | str) -> Column:
 def paywalled(body: Column | str) -> Column:
     """Whether a page asks for a subscription."""
     return F.lower(col(body)).rlike("subscribe to (read|continue)|subscribers only|sign in to continue")
+
+
+def in_years(at: Column | str, first: int = 2015, last: int = 2025) -> Column:
+    """Whether a date lies in the years of the corpus."""
+    return F.year(col(at)).between(first, last)
+
+
+def with_section(sentences: DataFrame, headings: str = r"^\s*(item [0-9]+[a-z]?|risk factors|management)", doc_id: str = "doc_id", pos: str = "pos") -> DataFrame:
+    """``section``: the last heading at or before each sentence of a document, null before the first."""
+    from pyspark.sql import Window
+
+    heading = F.nullif(F.regexp_extract(F.lower("sentence"), headings, 1), F.lit(""))
+    w = Window.partitionBy(doc_id).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return sentences.withColumn("section", F.last(heading, ignorenulls=True).over(w))
+
+
+def false_positive_reason(sentence: Column | str, competitors=()) -> Column:
+    """Why a flagged sentence may be no evidence: boilerplate, competitor, positive framing, metaphor, else none."""
+    s = F.lower(col(sentence))
+    rival = has_phrase(sentence, competitors) if competitors else F.lit(False)
+    return (
+        F.when(s.rlike("forward-looking statements|all rights reserved|safe harbor"), "boilerplate")
+        .when(rival, "competitor")
+        .when(s.rlike("reduces? risk|mitigat|protects? against"), "positive_framing")
+        .when(s.rlike("like a |as if |so to speak"), "metaphor")
+        .otherwise("none")
+    )

@@ -82,3 +82,17 @@ def data_hash(df: DataFrame) -> DataFrame:
 def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     """0/1 columns for known values."""
     return reduce(lambda d, v: d.withColumn(f"{column}_{v}", (F.col(column) == v).cast("int")), values, df)
+
+
+def expanding(series: DataFrame, order: str, value: str) -> DataFrame:
+    """Mean and count of all earlier rows, the training window that grows with time; for series of one row a period."""
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return series.withColumns({f"{value}_so_far": F.avg(value).over(w), "n_so_far": F.count(value).over(w)})
+
+
+def join_audit(joined: DataFrame, at: str, available: str, value: str) -> DataFrame:
+    """One log row for each as-of join result: the time asked for, the time of what was found, its age and whether it leaks."""
+    return joined.select(
+        F.col(at).alias("asked_at"), F.col(available).alias("found_at"), F.datediff(at, available).alias("age_days"),
+        F.col(value).isNotNull().alias("found"), F.coalesce(F.col(available) > F.col(at), F.lit(False)).alias("leaks"),
+    )

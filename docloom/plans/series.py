@@ -130,6 +130,27 @@ def asof_signals(spark, d):
     return out.select("o_orderkey", "quarter_start", "n")
 
 
+def asof_audit(spark, d):
+    """Audit of the as-of join: results by whether something was found and whether it leaks."""
+    left = _segments(spark, d).select("o_orderkey", F.col("c_mktsegment").alias("segment"), "at")
+    out = features.as_of(left, _keyed(spark, d), "at", "as_of_date", ["as_of_date", "n"], ["segment"])
+    log = features.join_audit(out, "at", "as_of_date", "n")
+    return log.groupBy("found", "leaks").agg(F.count("*").alias("n_rows"), F.max("age_days").alias("max_age"))
+
+
+def expanding_mean(spark, d):
+    """Mean number of documents of all quarters before."""
+    out = features.expanding(_quarters(spark, d).select("quarter_start", "n_docs"), "quarter_start", "n_docs")
+    return out.select("quarter_start", F.round("n_docs_so_far", 6).alias("n_docs_so_far"), "n_so_far")
+
+
+def year_range(spark, d):
+    """Documents of the years 1996 to 1998."""
+    from docloom.functions.text import in_years
+
+    return _orders(spark, d).where(in_years("at", 1996, 1998)).select("o_orderkey")
+
+
 def labels_next_quarter(spark, d):
     """Whether the next quarter's price is higher."""
     out = features.next_period_label(_quarters(spark, d).select("quarter_start", "close"), "quarter_start", "close")
@@ -190,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         coverage_year_source, coverage_cube, coverage_vs_target, entity_counts, quarter_gaps, first_mention, new_mentions_topk, term_year_pivot, comention, associations, top_topics_share,
-        quarter_signals, signal_variation, signal_delta, features_lagged, asof_signals, labels_next_quarter, leadlag_corr, risk_event_corr, chrono_split, split_check, leakage_violations,
+        quarter_signals, signal_variation, signal_delta, features_lagged, asof_signals, asof_audit, expanding_mean, year_range, labels_next_quarter, leadlag_corr, risk_event_corr, chrono_split, split_check, leakage_violations,
         features_allowed, train_hash, split_confusion,
     )
 }
@@ -228,6 +249,12 @@ ORACLES = {
         lag(n_docs, 1) OVER w - lag(n_docs, 4) OVER w AS n_docs_lag1_minus_lag4, lag(n_docs, 1) OVER w - lag(n_docs, 5) OVER w AS n_docs_lag1_minus_lag5 FROM q WINDOW w AS (ORDER BY quarter_start)""",
     "asof_signals": f"""WITH {_S}, k AS (SELECT source_type, quarter_start, count(*) AS n, CAST(quarter_start + INTERVAL 3 MONTH AS DATE) AS as_of_date FROM s GROUP BY 1, 2)
         SELECT o_orderkey, k.quarter_start, n FROM s ASOF LEFT JOIN k ON s.source_type = k.source_type AND s.odate >= k.as_of_date""",
+    "asof_audit": f"""WITH {_S}, k AS (SELECT source_type, count(*) AS n, CAST(quarter_start + INTERVAL 3 MONTH AS DATE) AS as_of_date FROM s GROUP BY source_type, quarter_start),
+        j AS (SELECT odate, as_of_date, n FROM s ASOF LEFT JOIN k ON s.source_type = k.source_type AND s.odate >= k.as_of_date)
+        SELECT n IS NOT NULL AS found, coalesce(as_of_date > odate, false) AS leaks, count(*) AS n_rows, CAST(max(odate - as_of_date) AS INTEGER) AS max_age FROM j GROUP BY 1, 2""",
+    "expanding_mean": f"""WITH {_Q} SELECT quarter_start, round(avg(n_docs) OVER w, 6) AS n_docs_so_far, count(n_docs) OVER w AS n_so_far FROM q
+        WINDOW w AS (ORDER BY quarter_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "year_range": "SELECT o_orderkey FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998",
     "labels_next_quarter": f"""WITH {_Q} SELECT quarter_start, CASE WHEN lead(close) OVER w > close THEN 1 WHEN lead(close) OVER w IS NOT NULL THEN 0 END AS label, lead(quarter_start) OVER w AS label_date
         FROM q WINDOW w AS (ORDER BY quarter_start)""",
     "leadlag_corr": f"WITH {_Q}, l AS (SELECT urgent, " + ", ".join(f"lag(close, {-k}) OVER w AS y{i}" if k <= 0 else f"lead(close, {k}) OVER w AS y{i}" for i, k in enumerate(range(-4, 5)))

@@ -54,6 +54,19 @@ def doc_flag_counts(spark, d):
     return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), *(F.sum(e).alias(e) for e in LEXICON))
 
 
+def section_flags(spark, d):
+    """Sentences and flagged ones by the last heading, here the first word "the" or "der" of a sentence."""
+    s = T.with_section(T.sentences(_docs(spark, d)), r"^\s*(the|der) ")
+    s = s.withColumn("f", T.has_phrase("sentence", LEXICON["beta"]))
+    return s.groupBy("section").agg(F.count("*").alias("n_sentences"), F.sum(F.col("f").cast("bigint")).alias("n_flagged"))
+
+
+def false_positives(spark, d):
+    """Reasons why sentences with an entity may be no evidence, with "les" in the place of a competitor."""
+    s = T.sentences(_docs(spark, d)).where(T.has_phrase("sentence", LEXICON["alpha"]))
+    return s.groupBy(T.false_positive_reason("sentence", LEXICON["delta"]).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def label_classes(spark, d):
     """Production labels of documents; the invented prose has few of these phrases."""
     x = _docs(spark, d).select(T.ai_label("text").alias("ai_label"), T.risk_label("text").alias("risk_label"), T.product_label("text", LEXICON["alpha"], LEXICON["beta"]).alias("product_label"))
@@ -181,7 +194,7 @@ def bootstrap_accuracy(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        sentences, sentence_context, lexicon_flags, doc_flag_counts, label_classes, evidence_span, html_text, doc_classify, publish_dates, kg_edges, co_mention_entities, lang_intensity,
+        sentences, sentence_context, lexicon_flags, doc_flag_counts, section_flags, false_positives, label_classes, evidence_span, html_text, doc_classify, publish_dates, kg_edges, co_mention_entities, lang_intensity,
         media_share, quality_filters, paywalls, gold_precision, confusion, calibration, stratified_sample, audit_sample, gold_union, auc_ranksum, baselines, bootstrap_accuracy,
     )
 }
@@ -206,6 +219,12 @@ ORACLES = {
         WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
     "lexicon_flags": "SELECT doc_id, " + ", ".join(f"{_has('text', a)} AS {e}" for e, a in LEXICON.items()) + " FROM documents",
     "doc_flag_counts": f"WITH {_SENT} SELECT doc_id, count(*) AS n_sentences, " + ", ".join(f"count(*) FILTER ({_has('sentence', a)}) AS {e}" for e, a in LEXICON.items()) + " FROM s GROUP BY doc_id",
+    "section_flags": f"""WITH {_SENT}, h AS (SELECT *, nullif(regexp_extract(lower(sentence), '^\\s*(the|der) ', 1), '') AS head FROM s),
+        x AS (SELECT sentence, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM h)
+        SELECT section, count(*) AS n_sentences, count(*) FILTER ({_has('sentence', LEXICON['beta'])}) AS n_flagged FROM x GROUP BY section""",
+    "false_positives": f"""WITH {_SENT} SELECT CASE WHEN regexp_matches(lower(sentence), 'forward-looking statements|all rights reserved|safe harbor') THEN 'boilerplate'
+        WHEN {_has('sentence', LEXICON['delta'])} THEN 'competitor' WHEN regexp_matches(lower(sentence), 'reduces? risk|mitigat|protects? against') THEN 'positive_framing'
+        WHEN regexp_matches(lower(sentence), 'like a |as if |so to speak') THEN 'metaphor' ELSE 'none' END AS reason, count(*) AS n FROM s WHERE {_has('sentence', LEXICON['alpha'])} GROUP BY 1""",
     "label_classes": f"""SELECT CASE WHEN {_has('text', T.AI_EXPLICIT)} THEN 'AI_EXPLICIT' WHEN {_has('text', T.AI_IMPLICIT)} THEN 'AI_IMPLICIT' ELSE 'AI_NONE' END AS ai_label,
         CASE WHEN {_has('text', T.RISK_AI)} THEN 'RISK_AI' WHEN {_has('text', T.RISK_TECH)} THEN 'RISK_TECH' WHEN {_has('text', T.RISK_OTHER)} THEN 'RISK_OTHER' ELSE 'RISK_NONE' END AS risk_label,
         CASE WHEN {_has('text', LEXICON['alpha'])} AND {_has('text', LEXICON['beta'])} THEN 'BOTH' WHEN {_has('text', LEXICON['alpha'])} THEN 'PRODUCT' WHEN {_has('text', LEXICON['beta'])} THEN 'CAPABILITY' ELSE 'NONE' END AS product_label,

@@ -65,6 +65,31 @@ class RateState(StatefulProcessor):
         pass
 
 
+class FreshValue(StatefulProcessor):
+    """The last value of a key while it is fresh: state expires after the time to live (processing time)."""
+
+    def __init__(self, seconds: int = crawl.ROBOTS_TTL):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("value", "body string", ttlDurationMs=self.seconds * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        for row in pd.concat(list(rows)).itertuples():
+            hit = self.state.exists()
+            if not hit:
+                self.state.update((row.body,))
+            yield pd.DataFrame({"host": [key[0]], "body": [self.state.get()[0]], "hit": [hit]})
+
+    def close(self) -> None:
+        pass
+
+
+def cached(stream: DataFrame, seconds: int = crawl.ROBOTS_TTL) -> DataFrame:
+    """(host, body) answered from a cache with a time to live; ``hit`` tells which answers were cached."""
+    return stream.groupBy("host").transformWithStateInPandas(FreshValue(seconds), "host string, body string, hit boolean", "Append", "ProcessingTime")
+
+
 def rate_state(stream: DataFrame, start: float = crawl.DEFAULT_DELAY) -> DataFrame:
     """Adaptive rates as keyed state; needs the RocksDB state store."""
     return stream.groupBy("user_id").transformWithStateInPandas(RateState(start), "user_id long, requests long, error_count long, current_rate double", "Update", "None")

@@ -183,3 +183,11 @@ def test_streams_within_watermark(spark, tmp_path):
 def test_spine_and_variation(spark):
     df = spark.createDataFrame([(dt.date(2020, 1, 5),), (dt.date(2020, 12, 5),)], "d date")
     assert signals.missing_quarters(df, "d").count() == 2
+
+
+def test_cache_with_time_to_live(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = str(tmp_path / "in")
+    spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "host string, body string").coalesce(1).write.parquet(path)
+    out = jobs.run_to_table(jobs.cached(spark.readStream.schema("host string, body string").parquet(path)), "cache", "append", str(tmp_path / "cp"))
+    assert sorted((r.host, r.hit) for r in out.collect()) == [("a", False), ("a", True), ("b", False)]
