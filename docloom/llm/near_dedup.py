@@ -10,7 +10,7 @@
    missed pairs down to ``MISS``: four and five.
 3. Small nodes are compared exhaustively by their tokens, with a margin of five standard deviations, and linked to
    candidate clusters.  Nodes that stay large to the last level are made of documents that agree in that many tokens, and
-   become part of a cluster as they are.  So do dense ones, large nodes that keep most of their parent's classes.
+   become part of a cluster as they are.  So do dense ones, large nodes of which one child would keep most classes.
 4. Links are confirmed on full sets, ``100 * intersection >= least * union``, inside clusters: pairs that are already
    connected are skipped, and only spanning links are emitted.  A cluster above ``BLOCK`` shingles is dealt to blocks that
    also get its pivots; then what did not join the largest component is compared with all blocks.  No link between
@@ -39,10 +39,10 @@ from pyspark.sql import types as T
 from . import common
 from .url_filters import Bloom
 
-TOKENS, BRANCH, DEPTH, SMALL, PIVOTS = 64, 2, 12, 128, 16
+TOKENS, BRANCH, DEPTH, SMALL, PIVOTS = 64, 2, 12, 256, 16
 #: Shingles of one block of a large cluster.
-BLOCK = 500_000
-#: A large node that keeps this part of its parent is dense: branching does not tell its classes apart.
+BLOCK = 2_000_000
+#: A large node is dense if one child would keep this part of it: branching does not tell its classes apart.
 DENSE = 0.6
 #: Links that one task joins at once, 16 bytes each; more go through distributed rounds.
 FEW_LINKS = 1_000_000
@@ -93,10 +93,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _children(nodes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """For nodes (rows) and the tokens of the classes in them, the ``BRANCH`` child nodes of each."""
+def _children(nodes: np.ndarray, tokens: np.ndarray, many: int = BRANCH) -> np.ndarray:
+    """For nodes (rows) and the tokens of the classes in them, the first ``many`` child nodes of each."""
     out = []
-    for k in range(BRANCH):
+    for k in range(many):
         chosen = _mix(nodes ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (2**64 - 1)))
         at = (chosen % np.uint64(TOKENS)).astype(np.int64)
         out.append(_mix(chosen ^ _mix(at.astype(np.uint64) << np.uint64(32) | tokens[np.arange(len(tokens)), at])))
@@ -112,7 +112,10 @@ def trees(least: int) -> int:
 
 
 def _grow(df: DataFrame, roots: int) -> DataFrame:
-    """Rows (node, rep, above) of the next level; ``df`` has rep, tokens and, unless it is the roots' many, node and its size m (above)."""
+    """Rows (node, rep, probe) of the next level; ``df`` has rep, tokens and, unless it is the roots' many, node.
+
+    ``probe`` is the first child that the class would have in that node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,25 +128,29 @@ def _grow(df: DataFrame, roots: int) -> DataFrame:
             else:
                 grown = [_children(np.asarray(batch.column("node")).view(np.uint64), tokens)]
             nodes = np.concatenate(grown, 1)
-            above = pa.nulls(nodes.size, pa.int64()) if roots else pa.array(np.repeat(np.asarray(batch.column("m")), nodes.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(np.repeat(reps, nodes.shape[1])), above], ["node", "rep", "above"])
+            probes = _children(nodes.ravel(), np.repeat(tokens, nodes.shape[1], 0), 1)
+            columns = [nodes.ravel().view(np.int64), np.repeat(reps, nodes.shape[1]), probes.ravel().view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "rep", "probe"])
 
-    return df.mapInArrow(run, "node bigint, rep bigint, above bigint")
+    return df.mapInArrow(run, "node bigint, rep bigint, probe bigint")
 
 
 def _leaves(classes: DataFrame, n_trees: int) -> DataFrame:
     """Rows (node, rep, m) of the nodes in which classes are to be compared; m is the node's size."""
     leaves, level = None, _grow(classes.select("rep", "tokens"), n_trees)
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("m"), F.min("above").alias("above")).where("m > 1")
-        kept = common.checkpointed(level.select("node", "rep").join(sizes, "node"))
-        go = (F.col("m") > SMALL) & (F.col("above").isNull() | (F.col("m") < DENSE * F.col("above"))) & F.lit(depth < DEPTH)
-        ends = kept.where(~go).select("node", "rep", "m")
-        leaves = ends if leaves is None else leaves.unionByName(ends)
-        large = kept.where(go)
+        sizes = level.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+        kept = common.checkpointed(level.join(sizes, "node"))
+        small = kept.where(F.col("m") <= SMALL).select("node", "rep", "m")
+        leaves = small if leaves is None else leaves.unionByName(small)
+        large = kept.where(F.col("m") > SMALL)
         if large.isEmpty():
             break
-        level = _grow(large.select("node", "rep", "m").join(classes.select("rep", "tokens"), "rep"), 0)
+        keeps = large.groupBy("node", "m", "probe").count().groupBy("node", "m").agg(F.max("count").alias("most"))
+        ends = F.col("most") >= DENSE * F.col("m") if depth < DEPTH else F.lit(True)
+        large = common.checkpointed(large.select("node", "rep", "m").join(keeps.select("node", ends.alias("ends")), "node"))
+        leaves = leaves.unionByName(large.where("ends").drop("ends"))
+        level = _grow(large.where("NOT ends").select("node", "rep").join(classes.select("rep", "tokens"), "rep"), 0)
     return leaves
 
 
