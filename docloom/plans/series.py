@@ -98,7 +98,9 @@ def top_topics_share(spark, d):
 
 def quarter_signals(spark, d):
     """Signals of each quarter with the date from which they may be used."""
-    return _quarters(spark, d).select("quarter_start", "n_docs", F.round("close", 4).alias("close"), F.round("urgent", 9).alias("urgent"), "as_of_date")
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))  # whole numbers add up alike in any order
+    q = signals.quarterly(_orders(spark, d), "at", cents=cents, urgent=signals.share(F.col("o_orderpriority") == "1-URGENT"))
+    return q.select("quarter_start", "n_docs", "cents", F.round("urgent", 9).alias("urgent"), "as_of_date")
 
 
 def signal_variation(spark, d):
@@ -241,7 +243,8 @@ ORACLES = {
     "top_topics_share": f"""WITH {_M}, t AS (SELECT year(odate) AS year, p_brand AS topic FROM m JOIN part ON l_partkey = p_partkey),
         top AS (SELECT topic FROM t GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 10), c AS (SELECT year, topic, count(*) AS n FROM t GROUP BY 1, 2),
         w AS (SELECT *, sum(n) OVER (PARTITION BY year) AS whole FROM c) SELECT CAST(year AS INTEGER) AS year, topic, n, round(n / whole, 9) AS share FROM w WHERE topic IN (SELECT topic FROM top)""",
-    "quarter_signals": f"WITH {_Q} SELECT quarter_start, n_docs, round(close, 4) AS close, round(urgent, 9) AS urgent, as_of_date FROM q",
+    "quarter_signals": f"""WITH {_O} SELECT quarter_start, count(*) AS n_docs, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents,
+        round(count(*) FILTER (o_orderpriority = '1-URGENT') / count(*), 9) AS urgent, CAST(quarter_start + INTERVAL 3 MONTH AS DATE) AS as_of_date FROM o GROUP BY quarter_start""",
     "signal_variation": f"WITH {_Q} SELECT round(avg(close), 4) AS mean, round(stddev_samp(close), 4) AS sd, round(stddev_samp(close) / avg(close), 9) AS cv FROM q",
     "signal_delta": f"WITH {_Q} SELECT quarter_start, round(urgent - lag(urgent) OVER (ORDER BY quarter_start), 9) AS delta FROM q",
     "features_lagged": f"""WITH {_Q} SELECT quarter_start, n_docs, {", ".join(f"lag(n_docs, {k}) OVER w AS n_docs_lag{k}" for k in range(1, 5))},
