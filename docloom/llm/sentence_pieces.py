@@ -27,6 +27,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,7 @@ class Model:
 
     def __init__(self, data: bytes):
         pieces, spec, norm = [], {}, {}
+        self.name = xxhash.xxh3_128_hexdigest(data)
         for field, value in _fields(data):
             if field == 1:
                 p = dict(_fields(value))
@@ -322,6 +324,15 @@ class Model:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
 
 
+#: Pieces of segments by model, kept by a Python worker from one task to the next.
+_REMEMBERED: dict[str, dict[str, bytes]] = {}
+
+
+def remembered(model: Model) -> dict[str, bytes]:
+    """This worker's cache of a model."""
+    return _REMEMBERED.setdefault(model.name, {})
+
+
 def _load(spark: SparkSession, path: str | None):
     with open(path or default_model(), "rb") as f:  # read on the driver; its tables are broadcast, a few MB for any vocabulary
         return spark.sparkContext.broadcast(Model(f.read()))
@@ -329,11 +340,10 @@ def _load(spark: SparkSession, path: str | None):
 
 def encode(docs: DataFrame, text: str = "text", model: str | None = None, ids: str = "piece_ids") -> DataFrame:
     """``docs`` with the piece ids of its texts: one pass, no shuffle."""
-    held, caches = _load(docs.sparkSession, model), {}
+    held = _load(docs.sparkSession, model)
 
     def make(batch, texts):
-        cache = caches.setdefault("", {})
-        return [held.value.encode([t.decode() for t in texts], cache)]
+        return [held.value.encode([t.decode() for t in texts], remembered(held.value))]
 
     return common.appended(docs, text, f"{ids} array<int>", make, 2_000_000)
 
