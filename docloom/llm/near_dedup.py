@@ -6,10 +6,11 @@
 2. Chosen path: in each of several independent trees a class branches from the root into ``BRANCH`` children, each
    named by its path and by the minwise token at a position that the path selects.  Nodes above ``SMALL`` classes branch
    again, single ones end.  A pair of similarity s shares BRANCH * s children on average: with 0.85 and two branches it
-   survives a tree of any depth with a chance of 0.969, with 0.8 of 0.9375.  As many trees are grown as bring the share of
-   missed pairs down to ``MISS``: four and five.
-3. Small nodes are compared exhaustively by their tokens, with a margin of five standard deviations, and linked to
-   candidate clusters.  Nodes that stay large to the last level are made of documents that agree in that many tokens, and
+   survives a tree of any depth with a chance of 0.969, with 0.8 of 0.9375.  All trees read the same tokens, so a pair with
+   few equal ones is in danger in each of them; as many trees are grown as bring the share of missed pairs, expected over
+   the number of equal tokens, down to ``MISS``: six and nine.
+3. Small nodes are compared exhaustively by their tokens, with a margin that loses a quarter of ``MISS`` at most, and linked
+   to candidate clusters.  Nodes that stay large to the last level are made of documents that agree in that many tokens, and
    become part of a cluster as they are.  So do dense ones, large nodes of which one child would keep most classes.
 4. Links are confirmed on full sets, ``100 * intersection >= least * union``, inside clusters: pairs that are already
    connected are skipped, and only spanning links are emitted.  A cluster above ``BLOCK`` shingles is dealt to blocks that
@@ -28,6 +29,7 @@ one shingle; repeated rows belong to one class; rows of a null id have no compon
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -104,13 +106,41 @@ def _children(nodes: np.ndarray, tokens: np.ndarray, many: int = BRANCH) -> np.n
 
 
 def trees(least: int) -> int:
-    """Independent trees for which a pair of similarity ``least`` percent is missed with a chance of ``MISS`` at most."""
+    """Trees for which, if they were independent, a pair of similarity ``least`` percent is missed with a chance of about ``MISS``."""
     s, lost = least / 100, 0.0
     for _ in range(1000):  # chance that a tree of any depth loses a pair: the fixed point of a branching process
         lost = (1 - s + s * lost) ** BRANCH
     return max(1, round(np.log(MISS) / np.log(max(lost, 1e-9))))
 
 
+def _equal_tokens(least: int) -> np.ndarray:
+    """Chances that a pair of similarity ``least`` percent has 0, 1, ... ``TOKENS`` equal tokens."""
+    s = least / 100
+    return np.array([comb(TOKENS, k) * s**k * (1 - s) ** (TOKENS - k) for k in range(TOKENS + 1)])
+
+
+def margin(least: int) -> int:
+    """Equal tokens that a candidate must have: fewer occur with a chance of ``MISS / 4`` at most."""
+    return int(np.searchsorted(np.cumsum(_equal_tokens(least)), MISS / 4, "right"))
+
+
+def missed(least: int, n_trees: int) -> float:
+    """Chance that a pair of similarity ``least`` percent is missed by the margin or by all trees, which share their tokens."""
+    chance, low = _equal_tokens(least), margin(least)
+    s, lost = np.arange(TOKENS + 1) / TOKENS, np.zeros(TOKENS + 1)
+    for _ in range(DEPTH):
+        lost = (1 - s + s * lost) ** BRANCH
+    return float(chance[:low].sum() + (chance[low:] * lost[low:] ** n_trees).sum())
+
+
+def grown(least: int) -> int:
+    """Trees that are grown: :func:`trees`, and more until ``missed`` is ``MISS`` at most; 1,000 end the search."""
+    n = trees(least)
+    while n < 1000 and missed(least, n) > MISS:
+        n += 1
+    return n
+
+
 def _grow(df: DataFrame, roots: int) -> DataFrame:
     """Rows (node, rep, probe) of the next level; ``df`` has rep, tokens and, unless it is the roots' many, node.
 
@@ -218,8 +248,7 @@ def _by_group(df: DataFrame, keys: list[str], compare: Callable[[pa.Table], list
 
 
 def _candidates(least: int) -> Callable[[pa.Table], list[tuple[int, int]]]:
-    s = least / 100
-    margin = int(TOKENS * s - 5 * (TOKENS * s * (1 - s)) ** 0.5)
+    low = margin(least)
 
     def compare(group: pa.Table) -> list[tuple[int, int]]:
         reps = group.column("rep").to_pylist()
@@ -229,7 +258,7 @@ def _candidates(least: int) -> Callable[[pa.Table], list[tuple[int, int]]]:
         tokens = np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
         forest, out = Forest(len(reps)), []
         for i in range(len(reps) - 1):
-            alike = (tokens[i + 1 :] == tokens[i]).sum(1) >= margin
+            alike = (tokens[i + 1 :] == tokens[i]).sum(1) >= low
             near = np.flatnonzero(alike & (100 * np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i])))
             out += [(reps[i], reps[j]) for j in (near + i + 1).tolist() if forest.join(i, j)]
         return out
@@ -344,7 +373,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     rows = common.checkpointed(sketch(docs, doc_id, text, size))
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
     classes = common.checkpointed(classes)
-    compared = _leaves(classes, trees(least))
+    compared = _leaves(classes, grown(least))
     small = compared.where(F.col("m") <= SMALL).select("node", "rep").join(classes.select("rep", "n", "tokens"), "rep")
     stars = compared.where(F.col("m") > SMALL)
     stars = stars.join(stars.groupBy("node").agg(F.min("rep").alias("low")), "node").select(F.col("rep").alias("u"), F.col("low").alias("v"))

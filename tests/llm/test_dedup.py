@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 from collections import Counter
 
+import numpy as np
+
 from docloom.llm import near_dedup as n, substring_dedup as s
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -103,3 +106,24 @@ def test_near_edge_cases(spark):
     assert got == [("1", 1), ("1", 1), ("2", 1), ("None", None)]
     assert sorted(str(r.doc_id) for r in n.keep_one(twice).collect()) == ["1", "None"]
     assert n.trees(85) == 4 and n.trees(80) == 5
+
+
+def test_trees_that_share_tokens_miss_few_pairs():
+    rng, pairs = np.random.default_rng(5), 2000
+    for least in (85, 80):
+        low, many = n.margin(least), n.grown(least)
+        chance = [math.comb(64, k) * (least / 100) ** k * (1 - least / 100) ** (64 - k) for k in range(65)]
+        total = sum(chance[:low])
+        assert total <= n.MISS / 4
+        for k in range(low, 56):  # pairs with k equal tokens, five levels
+            a = rng.integers(0, 2**32, (pairs, 64), np.uint32)
+            b = np.where(rng.random((pairs, 64)).argsort(1) < k, a, a ^ np.uint32(1))
+            found = np.zeros(pairs, bool)
+            for tree in range(many):
+                at, nodes = np.arange(pairs), np.full(pairs, tree + 1, np.uint64)
+                for _ in range(5):
+                    x, y = n._children(nodes, a[at]), n._children(nodes, b[at])
+                    at, nodes = np.repeat(at, n.BRANCH)[(x == y).ravel()], x[x == y]
+                found[at] = True
+            total += chance[k] * (~found).mean()
+        assert total <= 1.2 * n.MISS, (least, total)
