@@ -72,8 +72,8 @@ def new_mentions_topk(spark, d):
 
 def term_year_pivot(spark, d):
     """Documents of each priority by year, as columns."""
-    years = list(range(1995, 2002))
     o = _orders(spark, d).select(F.col("o_orderpriority").alias("term"), F.year("at").alias("y"))
+    years = sorted({*range(1995, 2002), *(r["y"] for r in o.select("y").where("y IS NOT NULL").distinct().collect())})
     return o.groupBy("term").agg(*(F.count_if(F.col("y") == y).alias(f"y{y}") for y in years), F.min("y").alias("first_year"))
 
 

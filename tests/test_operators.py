@@ -191,3 +191,12 @@ def test_cache_with_time_to_live(spark, tmp_path):
     spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "host string, body string").coalesce(1).write.parquet(path)
     out = jobs.run_to_table(jobs.cached(spark.readStream.schema("host string, body string").parquet(path)), "cache", "append", str(tmp_path / "cp"))
     assert sorted((r.host, r.hit) for r in out.collect()) == [("a", False), ("a", True), ("b", False)]
+
+
+def test_pivot_has_all_years_of_the_table(spark, small, tmp_path):
+    from docloom.plans import series
+
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    orders.withColumn("o_orderdate", (F.col("o_orderdate") + F.expr("INTERVAL 5 YEARS")).cast(orders.schema["o_orderdate"].dataType)).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = series.term_year_pivot(spark, str(tmp_path)).collect()
+    assert sum(v for r in rows for k, v in r.asDict().items() if k.startswith("y")) == orders.count()
