@@ -48,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -129,10 +131,42 @@ def bucket_count(size: int) -> int:
     return max(1, min(100_000, -(-size // min(128_000_000, max(8_000_000, size // 500)))))
 
 
+#: Tables that :func:`bucketed` made and nothing has dropped: path by name.
+_TABLES: dict[str, str] = {}
+
+
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df`` as a table in the shared folder, bucketed by ``key``: joins by it do not shuffle the table again."""
     spark = df.sparkSession
     name = f"docloom_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
+    _TABLES[name] = path
+    table = spark.table(name)
+    table.docloom_table = name
+    return table
+
+
+def named_like(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, a selection of ``table``, which :func:`dropped` drops as a whole."""
+    df.docloom_table = table.docloom_table
+    return df
+
+
+def dropped(table: DataFrame) -> None:
+    """Drop a table of :func:`bucketed` with its files, once no later step reads it."""
+    _drop(table.sparkSession, table.docloom_table)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop(name))
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> int:
+    """Drop all tables that the operators of this process still hold; results that were not written yet are lost.  Returns their number."""
+    names = list(_TABLES)
+    for name in names:
+        _drop(spark, name)
+    return len(names)

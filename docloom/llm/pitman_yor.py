@@ -4,20 +4,27 @@ Every word that precedes others is a restaurant whose dishes are its successors.
 restaurant of single words, whose own parent is uniform over the vocabulary and one unknown word.  A restaurant's customers
 are the training occurrences; its tables are the customers that it sends to its parent.
 
-Seating is sampled by Gibbs sweeps over blocks: all customers of one dish leave a restaurant and are seated again, one
-after the other by the Chinese restaurant's rule, given everybody else's tables and the parent's probabilities after the
-sweep before.  From the seventeenth customer on they come in parties of a sixteenth of those seated, and a party opens its expected number of
-tables, rounded at random.  Random numbers are hashes of restaurant, dish, sweep and customer, so every task that
-needs a block's seating draws the same one, and a repeated task changes nothing.  Each sweep after the burn-in
-gives predictive probabilities; they are averaged for each token, and the score is the sum of their logarithms.
+Seating is sampled by Gibbs.  A step takes all customers of one dish out of a restaurant and draws the number of tables at
+which they sit again from its exact conditional, given the restaurant's other tables and the parent: weights are rising
+factorials of the strength, powers of the parent's probability and generalised Stirling numbers.  Above ``EXACT``
+customers, the rest follow by the Chinese restaurant's rule in parties of a sixteenth of those seated, whose new tables
+are drawn binomially.  The dishes of a restaurant are seated in ``COLOURS`` groups, one after the other, each seeing the
+tables of the others.  A round makes some sweeps of all restaurants given the parent, then the parent is seated
+anew.  The earlier rounds are the burn-in; each sweep of the last one gives predictive probabilities, which are averaged
+for each pair; the score is the sum of their logarithms (sent with 17 binary places).
 
 Counts and seatings are spread over the cluster.  Texts lie as token numbers in chunks of whole documents, in a table
-bucketed by chunk, so that joining a chunk with its answers moves no text.  A chunk asks for its distinct words and word pairs: sorted
-hashes go to buckets by range, buckets add up all chunks and answer in the order asked.  A hot word or pair is one entry a chunk, however often it
-occurs.  One of the chunks that hold a pair owns it and reports its tables.  The driver keeps totals only.
-
-Defined results: a null text is empty and has the end token alone; a null id is not held out; repeated rows are learned and
-scored one by one; an empty table gives no rows; without training rows all words are unknown.
+bucketed by chunk, so that joining a chunk with its answers moves no text.  Chunks send their distinct words to buckets
+of a hash range, which add up all chunks and answer with numbers; then their distinct pairs to buckets of restaurants,
+where each pair lies once, with its count and its tables.  A hot word or pair is one entry a chunk, however often it occurs;
+the dishes of a hot restaurant are dealt to several buckets.  Rounds work on those buckets alone, not on chunks: they
+ask the word buckets for the parent's tables and keep the seating in a table between rounds.  At last they answer each
+chunk with the logarithms of its pairs.  The driver keeps totals only.  Random numbers come from the bucket and the round,
+so a repeated task changes nothing.
+
+Defined results: a null text is empty and has the end token alone; a null id is not held out; ids of any type are kept; very
+long texts make chunks of their own; repeated rows are learned and scored one by one; other columns are dropped; an empty
+table gives no rows; without training rows all words are unknown.
 """
 
 from __future__ import annotations
@@ -32,15 +39,20 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from . import common
 
 START, END = 0, 1  # hashes of the context before a text and of the token after it
 CHUNK = 4_000_000
 SUMS = 6
-WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 2_000_000, 1_000_000
+WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 2_000_000, 2_000_000
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
-SWEEPS, BURN_IN = 2, 0
+#: Sweeps of each round, of which the last round's are averaged, and groups of dishes.
+SWEEPS, COLOURS = (2, 2, 4), 3
+#: Customers of a dish up to which the number of their tables is drawn from its exact conditional.
+EXACT = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -67,9 +79,10 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _ranges(keys: np.ndarray, buckets: int, bits: int = 64) -> list[int]:
-    """Where each bucket starts in ascending keys of so many bits."""
-    return np.searchsorted(keys, np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(keys)]
+def _runs(groups: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(group, start, end) of each run of equal values."""
+    edges = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))).tolist() if len(groups) else []
+    return zip(groups[edges].tolist(), edges, [*edges[1:], len(groups)])
 
 
 def tokenized(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,44 +104,52 @@ def tokenized(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Chunk:
     """Words and pairs of a chunk of documents."""
 
-    def __init__(self, train: list[bool], n: np.ndarray, words: np.ndarray, place: np.ndarray, bits: int):
+    def __init__(self, train: list[bool], n: np.ndarray, words: int, place: np.ndarray):
         ends = np.cumsum(n + 2)
         self.n_tokens = n + 1
         self.doc = np.repeat(np.arange(len(n)), n + 1)
-        self.words = words
         token = np.ones(len(place), bool)
         token[ends - n - 2] = False
         at = np.flatnonzero(token)
         self.word, before = place[at], place[at - 1]
         self.train = np.repeat(np.array(train, bool), n + 1)
-        # A text's start is counted as a context, as often as texts end.
-        self.count = np.bincount(self.word[self.train], minlength=len(words))
-        if len(words):
-            self.count[0] = sum(train)
-        pairs, self.pair = np.unique(before * len(words) + self.word, return_inverse=True)
-        self.u, self.w = pairs // max(1, len(words)), pairs % max(1, len(words))
-        with np.errstate(over="ignore"):
-            keys = _mix(_mix(words[self.u] + np.uint64(0x632BE59BD9B4E019)) ^ words[self.w]) >> np.uint64(64 - bits)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        pairs, self.pair = np.unique(before * words + self.word, return_inverse=True)
+        self.u, self.w = pairs // max(1, words), pairs % max(1, words)
         self.pair_count = np.bincount(self.pair[self.train], minlength=len(pairs))
 
+    def dealt(self, ids: np.ndarray, total: np.ndarray, buckets: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket of each pair, and the pairs by bucket: whole restaurants, but hot ones in parts of about so many customers."""
+        parts = 1 + total[self.u] // part
+        with np.errstate(over="ignore"):
+            dish = _mix(ids[self.w] + np.uint64(0x632BE59BD9B4E019)) % parts.astype(np.uint64)
+            bucket = (_mix(_mix(ids[self.u]) ^ dish) % np.uint64(buckets)).astype(np.int64)
+        return bucket, np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+
+
+def _train_counts(train: list[bool], n: np.ndarray, words: int, place: np.ndarray) -> np.ndarray:
+    """Training occurrences of a chunk's words; a text's start is counted as a context, as often as texts end."""
+    return np.bincount(place[np.repeat(np.array(train, bool), n + 2)], minlength=words)
+
 
 def _chunks(docs: DataFrame, doc_id: str, text: str, held_out: Callable[[int], bool]) -> tuple[DataFrame, int, int]:
     """Table of chunks as token numbers, its number of buckets and the bytes of text."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     size = rows.select(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 2), F.lit(0))).first()[0]
+    kind = rows.schema["id"].dataType
+    fields = f"chunk bigint, ids array<{kind.simpleString()}>, train array<boolean>, n binary, words binary, count binary, tokens binary"
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(to_arrow_type(kind))), ("train", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("n", "words", "count", "tokens"))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple] = []
         total = k = 0
 
         def made() -> pa.RecordBatch:
             ids = [i for i, _ in held]
+            train = [i is None or not held_out(i) for i in ids]
             n, words, place = tokenized([t for _, t in held])
-            row = {"chunk": task << 32 | k, "ids": ids, "train": [i is None or not held_out(i) for i in ids], "n": pack(n), "words": words.tobytes(), "tokens": zlib.compress(pack(place), 1)}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("n", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())]))
+            row = {"chunk": task << 32 | k, "ids": ids, "train": train, "n": pack(n), "words": words.tobytes(), "count": pack(_train_counts(train, n, len(words), place)), "tokens": pack(place)}
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in common.slices(batches, "text", CHUNK):
             for row in zip(batch.column("id").to_pylist(), common.column_bytes(batch, "text"), strict=True):
@@ -142,102 +163,47 @@ def _chunks(docs: DataFrame, doc_id: str, text: str, held_out: Callable[[int], b
             yield made()
 
     buckets = common.bucket_count(size)
-    return common.bucketed(rows.mapInArrow(cut, "chunk bigint, ids array<bigint>, train array<boolean>, n binary, words binary, tokens binary"), "chunk", buckets), buckets, size
+    return common.bucketed(rows.mapInArrow(cut, fields), "chunk", buckets), buckets, size
 
 
-def _answered(asked: DataFrame, answer: Callable[[list[dict]], tuple[list[bytes], list[int]]], buckets: int) -> tuple[DataFrame, list[int]]:
-    """Ask the buckets; the answers by chunk, and the buckets' totals.
+def _answered(asked: DataFrame, answer: Callable[[int, list[dict]], tuple[list[bytes], list[int]]], asker: str, buckets: int) -> tuple[DataFrame, list[int]]:
+    """Ask the buckets; a table of the answers by ``asker`` in so many buckets, and the totals (the last one a maximum).
 
-    ``answer`` gets what all chunks ask of one bucket, a bounded range of keys, and returns a payload for each and up to ``SUMS`` sums.
+    ``answer`` gets what all ask of one bucket, a bounded range of keys, and returns a payload for each and up to ``SUMS`` numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in common.grouped(batches, ["bucket"]):
             held = list(rows)
-            payloads, sums = answer(held)
-            totals = [(sums + [0] * SUMS)[:SUMS]] + [[0] * SUMS] * (len(held) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(payloads, pa.binary()), pa.array(totals, pa.list_(pa.int64()))], ["chunk", "bucket", "payload", "sums"])
+            payloads, sums = answer(bucket, held)
+            totals = [sums] + [[0] * SUMS] * (len(held) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([r[asker] for r in held], pa.int64()), pa.array([bucket] * len(held), pa.int64()), pa.array(payloads, pa.binary()), pa.array(totals, pa.list_(pa.int64()))], [asker, "from", "payload", "sums"])
 
-    done = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk bigint, bucket int, payload binary, sums array<bigint>")
-    total = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(SUMS)]
-    table = common.bucketed(done.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "payload"))).alias("answers"), *total), "chunk", buckets)
-    row = table.agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in range(SUMS))).first()
-    return table.select("chunk", "answers"), list(row)
+    done = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"{asker} bigint, from bigint, payload binary, sums array<bigint>")
+    how = [F.sum] * (SUMS - 1) + [F.max]
+    total = [f(F.get("sums", F.lit(k))).alias(f"s{k}") for k, f in enumerate(how)]
+    table = common.bucketed(done.groupBy(asker).agg(F.sort_array(F.collect_list(F.struct("from", "payload"))).alias("answers"), *total), asker, buckets)
+    row = table.agg(*(F.coalesce(f(f"s{k}"), F.lit(0)) for k, f in enumerate(how))).first()
+    return common.named_like(table.select(asker, "answers"), table), list(row)
 
 
-def _join(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
-    for k, a in enumerate(answers):
-        chunks = chunks.join(a.withColumnRenamed("answers", f"a{k}"), "chunk", "left")
-    return chunks
-
-
-def _rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[dict, Chunk]]:
-    """Rows one by one, with their chunks."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
-            (row,) = batch.slice(k, 1).to_pylist()
-            place = unpack(zlib.decompress(row.pop("tokens"))).astype(np.int64)
-            yield row, Chunk(row["train"], unpack(row["n"]).astype(np.int64), np.frombuffer(row.pop("words"), np.uint64), place, bits)
-
+            yield from batch.slice(k, 1).to_pylist()
 
-ASKED = "bucket int, chunk bigint, keys binary, count binary, more binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("count", pa.binary()), ("more", pa.binary())])
 
+def _chunk(row: dict, low: int) -> tuple[Chunk, np.ndarray, np.ndarray]:
+    """A chunk with the numbers of its words and their counts in all training texts."""
+    parts = [_split(a["payload"]) for a in row["answers"]]
+    ids = np.concatenate([np.cumsum(unpack(p[0]), dtype=np.uint64) + np.uint64(a["from"] << low) for a, p in zip(row["answers"], parts, strict=True)])
+    place = unpack(row["tokens"]).astype(np.int64)
+    return Chunk(row["train"], unpack(row["n"]).astype(np.int64), len(ids), place), ids, np.concatenate([unpack(p[1]) for p in parts]).astype(np.int64)
 
-def _ask(chunk: int, edges: list[int], keys: np.ndarray, count: np.ndarray, more: np.ndarray | None = None, shift: int = 0) -> pa.RecordBatch:
-    """A row for each bucket (numbered from ``shift``) of which the chunk has keys; keys are sent as differences."""
-    out = [
-        {"bucket": b + shift, "chunk": chunk, "keys": pack(np.diff(keys[x:y], prepend=keys.dtype.type(0))), "count": pack(count[x:y]), "more": None if more is None else pack(more[x:y])}
-        for b, (x, y) in enumerate(zip(edges, edges[1:]))
-        if x < y
-    ]
-    return pa.RecordBatch.from_pylist(out, _SCHEMA)
 
-
-def _merged(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Distinct keys, the place of each chunk's keys among them, and the summed counts."""
-    keys = [np.cumsum(unpack(r["keys"]), dtype=np.uint64) for r in rows]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate([unpack(r["count"]) for r in rows]).astype(np.float64), len(every)).astype(np.int64)
-    return every, np.split(place, np.cumsum([len(k) for k in keys])[:-1]), total
-
-
-def _answer_words(rows: list[dict]) -> tuple[list[bytes], list[int]]:
-    """Ids (places in the bucket) and counts; sums: tokens, distinct words, words seen once and twice."""
-    every, places, total = _merged(rows)
-    real = every != START
-    t = total[real]
-    parts = [(pack(np.diff(p, prepend=0)), pack(total[p])) for p in places]
-    return [len(a).to_bytes(4, "little") + a + b for a, b in parts], [int(t.sum()), int((t > 0).sum()), int((t == 1).sum()), int((t == 2).sum())]
-
-
-def _answer_pairs(rows: list[dict]) -> tuple[list[bytes], list[int]]:
-    """Counts, and a bit for the pairs that the chunk owns; sums: pairs seen once and twice."""
-    _, places, total = _merged(rows)
-    owned = np.zeros(len(total), bool)
-    out = []
-    for p in places:
-        out.append(np.packbits(~owned[p]).tobytes())
-        owned[p] = True
-    packed = [pack(total[p]) for p in places]
-    return [len(a).to_bytes(4, "little") + a + b for a, b in zip(packed, out, strict=True)], [int((total == 1).sum()), int((total == 2).sum())]
-
-
-def _answer_tables(root: dict, sweep: int) -> Callable[[list[dict]], tuple[list[bytes], list[int]]]:
-    """Tables of words as contexts and as dishes; sums: customers and tables of the parent."""
-
-    def answer(rows: list[dict]) -> tuple[list[bytes], list[int]]:
-        ids = [np.cumsum(unpack(r["keys"]), dtype=np.int64) for r in rows]
-        n = max(int(i[-1]) for i in ids) + 1
-        every = np.concatenate(ids)
-        contexts = np.bincount(every, np.concatenate([unpack(r["count"]) for r in rows]).astype(np.float64), n).astype(np.int64)
-        dishes = np.bincount(every, np.concatenate([unpack(r["more"]) for r in rows]).astype(np.float64), n).astype(np.int64)
-        key = np.uint64(rows[0]["bucket"]) << np.uint64(40) | np.arange(n, dtype=np.uint64)
-        tables = _root_tables(dishes, key, root, sweep)
-        packed = [[pack(x[i]) for x in (contexts, dishes, tables)] for i in ids]
-        return [b"".join(len(x).to_bytes(4, "little") + x for x in p) for p in packed], [int(dishes.sum()), int(tables.sum())]
-
-    return answer
+def _joined(*parts: np.ndarray) -> bytes:
+    """Arrays of non-negative integers, one after the other."""
+    return b"".join(len(x).to_bytes(4, "little") + x for x in map(pack, parts))
 
 
 def _split(data: bytes) -> list[bytes]:
@@ -249,158 +215,280 @@ def _split(data: bytes) -> list[bytes]:
     return out
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of blocks of customers of one dish.
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
+def _sum(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(place, values.astype(np.float64), n).astype(np.int64)
+
+
+def _answer_words(bucket: int, rows: list[dict]) -> tuple[list[bytes], list[int]]:
+    """Places in the bucket and counts; sums: tokens, distinct words, words seen once and twice, and the bits of a place."""
+    keys = [np.cumsum(unpack(r["keys"]), dtype=np.uint64) for r in rows]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = _sum(place, np.concatenate([unpack(r["count"]) for r in rows]), len(every))
+    t = total[every != START]
+    parts = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    return [_joined(_steps(p), total[p]) for p in parts], [int(t.sum()), int((t > 0).sum()), int((t == 1).sum()), int((t == 2).sum()), 0, len(every).bit_length()]
+
 
-    A new table weighs ``weight + slope * tables`` against ``seated - discount * tables`` for the old ones.
+def _answer_parent(parent: dict, turn: int, low: int) -> Callable[[int, list[dict]], tuple[list[bytes], list[int]]]:
+    """Customers and tables of dishes in the parent; customers and tables of split restaurants; sums: the parent's customers and tables."""
+
+    def answer(bucket: int, rows: list[dict]) -> tuple[list[bytes], list[int]]:
+        first = np.uint64(bucket << low)
+
+        def added(name: str, *values: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+            keys = [(np.cumsum(unpack(r[name]), dtype=np.uint64) - first).astype(np.int64) if len(r[name]) > 1 else np.zeros(0, np.int64) for r in rows]
+            every = np.concatenate(keys)
+            n = int(every.max()) + 1 if len(every) else 0
+            return keys, [_sum(every, np.concatenate([unpack(r[v]) for r in rows]), n) for v in values]
+
+        dishes, (customers,) = added("dishes", "dish_tables")
+        contexts, both = added("contexts", "context_customers", "context_tables")
+        rng = np.random.default_rng([1, turn, bucket])
+        tables = seat(customers, np.full(len(customers), ROOT_STRENGTH + parent["discount"] * max(0, parent["tables"] - 1)), np.full(len(customers), parent["uniform"]), parent["discount"], rng)
+        return [_joined(customers[d], tables[d], *(x[c] for x in both)) for d, c in zip(dishes, contexts, strict=True)], [int(customers.sum()), int(tables.sum())] + [0] * (SUMS - 2)
+
+    return answer
+
+
+def _stirling(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: ways for n customers to sit at t tables, weighed by the discount."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(1, EXACT + 1)
+    for n in range(EXACT):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[n + 1, 1:] = np.logaddexp(out[n, :-1], np.where(t <= n, np.log(np.maximum(n - discount * t, 1e-300)) + out[n, 1:], -np.inf))
+    return out
+
+
+_TABLES: dict[float, np.ndarray] = {}
+
+
+def seat(customers: np.ndarray, strength: np.ndarray, p: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes, given ``strength`` with the other tables' share and the parent's probabilities ``p``.
+
+    Up to ``EXACT`` customers the draw is exact; further ones come in parties whose new tables are binomial.
     """
     tables = (customers > 0).astype(np.int64)
-    at = np.flatnonzero(customers > 1)
-    n, w, s, k, t = customers[at], weight[at], slope[at], key[at] + np.uint64(sweep << 56), np.ones(len(at), np.int64)
-    i = 1
+    if discount not in _TABLES:
+        _TABLES[discount] = _stirling(discount)
+    ways = _TABLES[discount]
+    size = np.minimum(customers, EXACT)
+    order = np.argsort(size, kind="stable")
+    for n, x, y in _runs(size[order]):
+        if n < 2:
+            continue
+        for k in range(x, y, max(1, 1_000_000 // n)):
+            rows = order[k : min(y, k + max(1, 1_000_000 // n))]
+            w = np.log(strength[rows, None] + discount * np.arange(n))
+            np.cumsum(w, 1, out=w)
+            w += np.log(p[rows])[:, None] * np.arange(1, n + 1) + ways[n, 1 : n + 1]
+            w = np.exp(w - w.max(1, keepdims=True)).cumsum(1)
+            tables[rows] = 1 + (w < (rng.random(len(rows)) * w[:, -1])[:, None]).sum(1)
+    at = np.flatnonzero(customers > EXACT)
+    i = EXACT
     while len(at):
-        party = np.minimum(max(1, i // 16), n - i)
-        new = w + s * t
-        chance = new / (new + i - discount * t)
-        u = (_mix(k ^ _mix(np.full(1, i, np.uint64))) >> np.uint64(11)) * 2.0**-53
-        t = t + np.minimum(party, np.floor(party * chance + u).astype(np.int64))
-        i += max(1, i // 16)
-        done = n <= i
-        if done.any():
-            tables[at[done]] = t[done]
-            go = ~done
-            at, n, w, s, k, t = at[go], n[go], w[go], s[go], k[go], t[go]
+        party, t = np.minimum(i // 16, customers[at] - i), tables[at]
+        new = (strength[at] + discount * t) * p[at]
+        tables[at] += rng.binomial(party, new / (new + i - discount * t))
+        i += i // 16
+        at = at[customers[at] > i]
     return tables
 
 
-def _root_tables(dishes: np.ndarray, key: np.ndarray, root: dict, sweep: int) -> np.ndarray:
-    others = max(0, root["tables"] - 1)
-    weight = np.full(len(dishes), (ROOT_STRENGTH + root["discount"] * others) * root["uniform"])
-    return seat(dishes, weight, np.full(len(dishes), root["discount"] * root["uniform"]), root["discount"], key, 100 + sweep)
-
-
-class Seated:
-    """Seatings of a chunk's pairs through the sweeps, from the answers it got."""
-
-    def __init__(self, chunk: Chunk, words: list[dict], pairs: list[dict], discount: float):
-        self.c, self.discount = chunk, discount
-        parts = [_split_two(a["payload"]) for a in words]
-        self.ids = [np.cumsum(unpack(a), dtype=np.int64) for a, _ in parts]
-        self.total = np.concatenate([unpack(b) for _, b in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        count, owned = [], []
-        for a in pairs:
-            x, y = _split_two(a["payload"])
-            count.append(unpack(x))
-            owned.append(np.unpackbits(np.frombuffer(y, np.uint8))[: len(count[-1])])
-        self.count, self.owned = np.zeros(len(chunk.keys), np.int64), np.zeros(len(chunk.keys), bool)
-        if count:
-            self.count[chunk.order], self.owned[chunk.order] = np.concatenate(count), np.concatenate(owned)
-        self.tables = (self.count > 0).astype(np.int64)
-        with np.errstate(over="ignore"):
-            self.key = np.empty_like(chunk.keys)
-            self.key[chunk.order] = _mix(chunk.keys)
-
-    def hear(self, answers: list[dict], root: dict) -> None:
-        """Take the tables of words after a sweep."""
-        parts = [_split(a["payload"]) for a in answers]
-        self.contexts, dishes, tables = (np.concatenate([unpack(p[k]) for p in parts]).astype(np.int64) for k in range(3))
-        new = (ROOT_STRENGTH + root["discount"] * root["tables"]) * root["uniform"]
-        self.root_p = (dishes - root["discount"] * tables + new) / (ROOT_STRENGTH + root["customers"])
-
-    def sweep(self, k: int) -> None:
-        """Seat all blocks again."""
-        p = self.root_p[self.c.w]
-        others = np.maximum(0, self.contexts[self.c.u] - self.tables)
-        self.tables = seat(self.count, (STRENGTH + self.discount * others) * p, self.discount * p, self.discount, self.key, k)
-
-    def told(self) -> tuple[np.ndarray, np.ndarray]:
-        """Tables of owned pairs by context and by dish."""
-        t = np.where(self.owned, self.tables, 0).astype(np.float64)
-        n = len(self.c.words)
-        return np.bincount(self.c.u, t, n).astype(np.int64), np.bincount(self.c.w, t, n).astype(np.int64)
+class Restaurants:
+    """The pairs of a bucket, each once, and their seating."""
+
+    def __init__(self, row: dict, discount: float):
+        self.bucket, self.discount = row["bucket"], discount
+        contexts, split, self.dish_ids, u, w, count = (unpack(x) for x in _split(row["pairs"]))
+        self.ids, self.dish_ids = np.cumsum(contexts, dtype=np.uint64), np.cumsum(self.dish_ids, dtype=np.uint64)
+        self.split = np.flatnonzero(split)
+        self.u, self.w, self.count = np.cumsum(u, dtype=np.uint64).astype(np.int64), w.astype(np.int64), count.astype(np.int64)
+        self.tables = unpack(row["tables"]).astype(np.int64) if row.get("tables") else (self.count > 0).astype(np.int64)
+        self.customers = _sum(self.u, self.count, len(self.ids))
+        self.held = _sum(self.u, self.tables, len(self.ids))
+
+    def asks(self, low: int) -> list[dict]:
+        """What the word buckets are told: tables by dish; customers and tables of split restaurants."""
+        out: dict[int, dict] = {}
+        dish, empty = _sum(self.w, self.tables, len(self.dish_ids)), pack(np.zeros(0))
+        for b, x, y in _runs((self.dish_ids >> np.uint64(low)).astype(np.int64)):
+            out[b] = {"bucket": b, "dishes": pack(_steps(self.dish_ids[x:y])), "dish_tables": pack(dish[x:y]), "contexts": empty, "context_customers": empty, "context_tables": empty}
+        ids, customers, tables = self.ids[self.split], _sum(self.u, self.count, len(self.ids)), _sum(self.u, self.tables, len(self.ids))
+        for b, x, y in _runs((ids >> np.uint64(low)).astype(np.int64)):
+            at = self.split[x:y]
+            row = out.setdefault(b, {"bucket": b, "dishes": empty, "dish_tables": empty})
+            row |= {"contexts": pack(_steps(ids[x:y])), "context_customers": pack(customers[at]), "context_tables": pack(tables[at])}
+        return [out[b] for b in sorted(out)]
+
+    def hear(self, answers: list[dict], parent: dict) -> None:
+        """Take the parent's probabilities and the totals of split restaurants."""
+        customers, tables, context_customers, context_tables = (np.concatenate([unpack(x) for x in part]).astype(np.int64) for part in zip(*(_split(a["payload"]) for a in answers), strict=True))
+        new = (ROOT_STRENGTH + parent["discount"] * parent["tables"]) * parent["uniform"]
+        self.parent_p = (customers - parent["discount"] * tables + new) / (ROOT_STRENGTH + parent["customers"])
+        self.customers[self.split], self.held[self.split] = context_customers, context_tables
+
+    def sweep(self, rng: np.random.Generator) -> None:
+        """Seat every dish again, in groups."""
+        for colour in range(COLOURS):
+            at = np.flatnonzero((self.count > 1) & (self.w % COLOURS == colour))
+            others = self.held[self.u[at]] - self.tables[at]
+            new = seat(self.count[at], STRENGTH + self.discount * others, self.parent_p[self.w[at]], self.discount, rng)
+            self.held += _sum(self.u[at], new, len(self.ids)) - _sum(self.u[at], self.tables[at], len(self.ids))
+            self.tables[at] = new
 
     def predictive(self) -> np.ndarray:
         """Probability of each pair's word after its context."""
-        new = (STRENGTH + self.discount * self.contexts[self.c.u]) * self.root_p[self.c.w]
-        return (self.count - self.discount * self.tables + new) / (STRENGTH + self.total[self.c.u])
-
-
-def _split_two(data: bytes) -> tuple[bytes, bytes]:
-    n = int.from_bytes(data[:4], "little")
-    return data[4 : 4 + n], data[4 + n :]
+        new = (STRENGTH + self.discount * self.held[self.u]) * self.parent_p[self.w]
+        return (self.count - self.discount * self.tables + new) / (STRENGTH + self.customers[self.u])
+
+    def turn(self, k: int) -> np.ndarray:
+        """The sweeps of a round; the mean of their predictive probabilities in the last one."""
+        rng = np.random.default_rng([2, k, self.bucket])
+        p = np.zeros(len(self.count))
+        for _ in range(SWEEPS[k]):
+            self.sweep(rng)
+            if k == len(SWEEPS) - 1:
+                p += self.predictive()
+        return p / SWEEPS[k]
+
+
+def _gathered(bucket: int, rows: list[dict]) -> tuple[dict, list[int]]:
+    """A bucket's pairs, each once, and the places of the askers' pairs among them; sums: pairs seen once and twice."""
+    u = np.concatenate([np.cumsum(unpack(r["u"]), dtype=np.uint64) for r in rows])
+    w = np.concatenate([unpack(r["w"]) for r in rows])
+    counts = [unpack(r["count"]) for r in rows]
+    ends = np.cumsum([len(c) for c in counts])
+    width = int(w.max()).bit_length()
+    if int(u.max()).bit_length() + width <= 64:
+        numbers, u = None, u << np.uint64(width) | w
+    else:  # numbers of so many words that two of them do not fit: those of this bucket do
+        numbers, u = np.unique(u, return_inverse=True)
+        u = u.astype(np.uint64) << np.uint64(width) | w
+    order = np.argsort(u, kind="stable")  # a merge of ascending rows
+    u = u[order]
+    first = np.concatenate(([True], u[1:] != u[:-1]))
+    place = np.empty(len(u), np.int64)
+    place[order] = np.cumsum(first) - 1
+    pairs = u[first]
+    total = _sum(place, np.concatenate(counts), len(pairs))
+    u, w = pairs >> np.uint64(width), pairs & np.uint64((1 << width) - 1)
+    fresh = np.concatenate(([True], u[1:] != u[:-1]))
+    contexts, u = u[fresh], np.cumsum(fresh) - 1
+    if numbers is not None:
+        contexts = numbers[contexts]
+    dishes, w = np.unique(w, return_inverse=True)
+    split = np.zeros(len(contexts), np.int64)
+    split[u[place]] = np.concatenate([np.unpackbits(np.frombuffer(r["split"], np.uint8))[: len(c)] for r, c in zip(rows, counts, strict=True)])
+    held = {"bucket": bucket, "pairs": _joined(_steps(contexts), split, _steps(dishes), _steps(u), w, total), "places": [{"chunk": r["chunk"], "places": pack(_steps(p))} for r, p in zip(rows, np.split(place, ends[:-1]), strict=True)]}
+    return held, [int((total == 1).sum()), int((total == 2).sum())]
+
+
+_ASKS = "array<struct<bucket:bigint,dishes:binary,dish_tables:binary,contexts:binary,context_customers:binary,context_tables:binary>>"
+_ASK = pa.list_(pa.struct([("bucket", pa.int64()), *((c, pa.binary()) for c in ("dishes", "dish_tables", "contexts", "context_customers", "context_tables"))]))
+_STATE = pa.schema([("bucket", pa.int64()), ("tables", pa.binary()), ("asks", _ASK)])
+#: Logarithms are sent as multiples of its inverse.
+_SCALE = 1 << 17
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: Callable[[int], bool] = lambda i: zlib.crc32(str(i).encode()) % 5 == 1) -> DataFrame:
     """For every row: id, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
-    chunks, buckets, size = _chunks(docs, doc_id, text, held_out)
+    chunks, chunk_buckets, size = _chunks(docs, doc_id, text, held_out)
+    kind: DataType = docs.schema[doc_id].dataType
+    id_type = to_arrow_type(kind)
     tokens = max(1, size // 6)
-    bits = min(64, 24 + tokens.bit_length())  # so a pair shares its hash with another one with a chance of 2 ** -24
     n_words, n_pairs = max(1, tokens // WORDS_PER_BUCKET), max(1, tokens // PAIRS_PER_BUCKET)
-
-    def ask(batches):
-        for r, c in _rows(batches, bits):
-            yield _ask(r["chunk"], _ranges(c.words, n_words), c.words, c.count)
-            yield _ask(r["chunk"], _ranges(c.keys, n_pairs, bits), c.keys, c.pair_count[c.order], shift=n_words)
-
-    def answer(rows):
-        if rows[0]["bucket"] < n_words:
-            return _answer_words(rows)
-        payloads, sums = _answer_pairs(rows)
-        return payloads, [0] * 4 + sums
-
-    counts, (total, distinct, once, twice, pairs_once, pairs_twice) = _answered(chunks.mapInArrow(ask, ASKED), answer, buckets)
+    part = PAIRS_PER_BUCKET // 2
+
+    def ask_words(batches):
+        for r in _rows(batches):
+            keys, count = np.frombuffer(r["words"], np.uint64), unpack(r["count"])
+            bucket = ((keys >> np.uint64(32)) * np.uint64(n_words) >> np.uint64(32)).astype(np.int64)
+            out = [{"bucket": b, "chunk": r["chunk"], "keys": pack(_steps(keys[x:y])), "count": pack(count[x:y])} for b, x, y in _runs(bucket)]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("count", pa.binary())]))
+
+    asked = chunks.select("chunk", "words", "count").mapInArrow(ask_words, "bucket bigint, chunk bigint, keys binary, count binary")
+    counts, (total, distinct, once, twice, _, low) = _answered(asked, _answer_words, "chunk", chunk_buckets)
+    known = chunks.join(counts, "chunk")
+
+    def ask_pairs(batches):
+        schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("u", pa.binary()), ("w", pa.binary()), ("count", pa.binary()), ("split", pa.binary())])
+        for r in _rows(batches):
+            c, ids, seen = _chunk(r, low)
+            bucket, order = c.dealt(ids, seen, n_pairs, part)
+            u, w, n, split = ids[c.u[order]], ids[c.w[order]], c.pair_count[order], seen[c.u[order]] >= part
+            yield pa.RecordBatch.from_pylist([{"bucket": b, "chunk": r["chunk"], "u": pack(_steps(u[x:y])), "w": pack(w[x:y]), "count": pack(n[x:y]), "split": np.packbits(split[x:y]).tobytes()} for b, x, y in _runs(bucket[order])], schema)
+
+    def gather(batches):
+        for (bucket,), rows in common.grouped(batches, ["bucket"]):
+            held, sums = _gathered(bucket, list(rows))
+            held |= {"asks": Restaurants(held, 0.5).asks(low), "once": sums[0], "twice": sums[1]}
+            yield pa.RecordBatch.from_pylist([held], pa.schema([("bucket", pa.int64()), ("pairs", pa.binary()), ("places", pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())]))), ("asks", _ASK), ("once", pa.int64()), ("twice", pa.int64())]))
+
+    asked = known.select("chunk", "train", "n", "tokens", "answers").mapInArrow(ask_pairs, "bucket bigint, chunk bigint, u binary, w binary, count binary, split binary")
+    gathered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, f"bucket bigint, pairs binary, places array<struct<chunk:bigint,places:binary>>, asks {_ASKS}, once bigint, twice bigint")
+    pair_buckets = min(n_pairs, common.bucket_count(size))
+    pairs = common.bucketed(gathered, "bucket", pair_buckets)
+    pairs_once, pairs_twice = pairs.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
     clip = lambda a, b: min(0.95, max(0.1, a / max(1, a + 2 * b)))
     discount = clip(pairs_once, pairs_twice)
-    first = {"discount": clip(once, twice), "uniform": 1 / (distinct + 1), "tables": distinct, "customers": 0}
-    answers, roots = [], [first]
-
-    def replay(r, c, known, each=None) -> Seated:
-        """The seating after the last answer; ``each`` sees every sample together with the words' tables of its sweep."""
-        s = Seated(c, [a for a in r["a0"] if a["bucket"] < n_words], [a for a in r["a0"] if a["bucket"] >= n_words], discount)
-        for k, root in enumerate(known):
-            if k:
-                s.sweep(k)
-            s.hear(r[f"a{k + 1}"], root)
-            if each is not None:
-                each(k, s)
-        return s
-
-    for k in range(SWEEPS + 1):
-        known = list(roots[1:])
-
-        def tell(batches, known=known):
-            for r, c in _rows(batches, bits):
-                s = replay(r, c, known)
-                if known:
-                    s.sweep(len(known))
-                contexts, dishes = s.told()
-                ids = np.concatenate(s.ids)
-                edges = np.zeros(n_words + 1, np.int64)
-                for a, i in zip(r["a0"], s.ids):  # words come before pairs
-                    edges[a["bucket"] + 1] = len(i)
-                yield _ask(r["chunk"], np.cumsum(edges).tolist(), ids, contexts, dishes)
-
-        asked = _join(chunks, counts, *answers).mapInArrow(tell, ASKED)
-        table, (customers, tables, *_) = _answered(asked, _answer_tables(roots[-1], k), buckets)
-        answers.append(table)
-        roots.append(first | {"customers": customers, "tables": tables})
-    known = list(roots[1:])
+    parent = {"discount": clip(once, twice), "uniform": 1 / (distinct + 1), "tables": distinct, "customers": 0}
+    state = pairs.select("bucket", "asks", F.lit(None).cast("binary").alias("tables"))
+
+    def heard(answers: DataFrame, *more: str) -> DataFrame:
+        return pairs.select("bucket", "pairs", *more).join(state.select("bucket", "tables"), "bucket").join(answers.withColumnRenamed("asker", "bucket"), "bucket")
+
+    for k in range(len(SWEEPS)):
+        asked = state.select(F.col("bucket").alias("asker"), F.explode("asks").alias("a")).select("asker", "a.*")
+        answers, (customers, tables, *_) = _answered(asked, _answer_parent(parent, k, low), "asker", pair_buckets)
+        parent = parent | {"customers": customers, "tables": tables}
+        if k == len(SWEEPS) - 1:
+            break
+
+        def turn(batches, parent=parent, k=k):
+            for r in _rows(batches):
+                held = Restaurants(r, discount)
+                held.hear(r["answers"], parent)
+                held.turn(k)
+                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "tables": pack(held.tables), "asks": held.asks(low)}], _STATE)
+
+        before, state = state, common.bucketed(heard(answers).mapInArrow(turn, f"bucket bigint, tables binary, asks {_ASKS}"), "bucket", pair_buckets)
+        common.dropped(answers)
+        if k:
+            common.dropped(before)
+
+    def finish(batches):
+        for r in _rows(batches):
+            held = Restaurants(r, discount)
+            held.hear(r["answers"], parent)
+            logs = np.rint(-np.log10(held.turn(len(SWEEPS) - 1)) * _SCALE).astype(np.uint64)
+            for k in range(0, len(r["places"]), 64):
+                some = r["places"][k : k + 64]
+                yield pa.RecordBatch.from_pylist([{"chunk": x["chunk"], "from": r["bucket"], "payload": pack(logs[np.cumsum(unpack(x["places"]), dtype=np.uint64).astype(np.int64)])} for x in some], pa.schema([("chunk", pa.int64()), ("from", pa.int64()), ("payload", pa.binary())]))
+
+    logs = heard(answers, "places").mapInArrow(finish, "chunk bigint, from bigint, payload binary").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("from", "payload"))).alias("logs"))
 
     def judge(batches):
-        for r, c in _rows(batches, bits):
-            samples: list[np.ndarray] = []
-            s = replay(r, c, known, lambda k, s, samples=samples: samples.append(s.predictive()) if k > BURN_IN else None)
-            mean = sum(samples) / len(samples)
-            n = len(c.n_tokens)
-            count = s.total[c.word]
-            logs = np.bincount(c.doc, np.log10(mean)[c.pair], n)
+        for r in _rows(batches):
+            c, ids, seen = _chunk(r, low)
+            _, order = c.dealt(ids, seen, n_pairs, part)
+            pair = np.empty(len(order))
+            pair[order] = np.concatenate([unpack(a["payload"]) for a in r["logs"]]) / -_SCALE
+            n, count = len(c.n_tokens), seen[c.word]
+            logs = np.bincount(c.doc, pair[c.pair], n)
             base = np.bincount(c.doc, np.log10((count + 0.5) / (total + 0.5 * (distinct + 1))), n)
             yield pa.RecordBatch.from_arrays([
-                pa.array(r["ids"], pa.int64()), pa.array(c.n_tokens), pa.array(np.bincount(c.doc, count > 0, n).astype(np.int64)), pa.array(np.full(n, total, np.int64)),
+                pa.array(r["ids"], id_type), pa.array(c.n_tokens), pa.array(np.bincount(c.doc, count > 0, n).astype(np.int64)), pa.array(np.full(n, total, np.int64)),
                 pa.array(base), pa.array(logs), pa.array(10 ** np.minimum(300.0, -logs / c.n_tokens)),
             ], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return _join(chunks, counts, *answers).mapInArrow(judge, "id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+    wanted = known.select("chunk", "ids", "train", "n", "tokens", "answers").join(logs, "chunk")
+    return wanted.mapInArrow(judge, f"id {kind.simpleString()}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

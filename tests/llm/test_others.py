@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docloom.llm import chat_format as ch, decontaminate as de, pitman_yor as py, url_filters as uf
+from docloom.llm import chat_format as ch, common, decontaminate as de, pitman_yor as py, url_filters as uf
 
 
 def test_templates_are_black_boxes():
@@ -150,34 +150,167 @@ def test_language_model(spark, monkeypatch):
     again = {r.id: r.score for r in py.score(df.repartition(7)).collect()}
     assert all(math.isclose(again[i], want[i].score, rel_tol=1e-9) for i in again)
     assert py.score(df.limit(0)).count() == 0
-
-
-def test_predictions_add_up_to_one():
-    """One chunk, seated locally: the probabilities of all words and the unknown one after a context sum to one."""
+    # Several buckets, hot restaurants in parts, ids of another type and a null one.
+    monkeypatch.setattr(py, "WORDS_PER_BUCKET", 300)
+    monkeypatch.setattr(py, "PAIRS_PER_BUCKET", 700)
+    other = {r.id: r for r in py.score(df.selectExpr("nullif(concat('d', doc_id), 'd7') AS doc_id", "text"), held_out=lambda i: held[int(i[1:])] if i else False).collect()}
+    for i, h in enumerate(held):
+        r = other[None if i == 7 else f"d{i}"]
+        assert r.n_tokens == want[i].n_tokens and (held[7] or math.isclose(r.base_score, want[i].base_score, rel_tol=1e-9) and math.isclose(r.score, want[i].score, rel_tol=0.2, abs_tol=1))
+
+
+def seated(texts, buckets=1):
+    """Restaurants of texts that are all learned, in one or more buckets, and what the words' bucket answers."""
+    n, hashes, place = py.tokenized(texts)
+    chunk = py.Chunk([True] * len(texts), n, len(hashes), place)
+    count = py._train_counts([True] * len(texts), n, len(hashes), place)
+    (told,), (_, distinct, once, twice, _, low) = py._answer_words(0, [{"keys": py.pack(py._steps(hashes)), "count": py.pack(count)}])
+    ids = np.cumsum(py.unpack(py._split(told)[0]), dtype=np.uint64)
+    part = 20 if buckets > 1 else 1 << 40
+    bucket, order = chunk.dealt(ids, count, buckets, part)
+    rows = []
+    for b, x, y in py._runs(bucket[order]):
+        at = order[x:y]
+        ask = {"chunk": 5, "u": py.pack(py._steps(ids[chunk.u[at]])), "w": py.pack(ids[chunk.w[at]]), "count": py.pack(chunk.pair_count[at]), "split": np.packbits(count[chunk.u[at]] >= part).tobytes()}
+        rows.append(py._gathered(b, [ask])[0])
+    parent = {"discount": 0.4, "uniform": 1 / (distinct + 1), "tables": distinct, "customers": 0}
+    return chunk, order, rows, parent, low
+
+
+def rounds(rows, parent, low, many, burn_in):
+    state = [dict(r) for r in rows]
+    held = [py.Restaurants(r, 0.6) for r in state]
+    samples = 0
+    for k in range(many):
+        asks = [h.asks(low)[0] for h in held]
+        answers, (customers, tables, *_) = py._answer_parent(parent, k, low)(0, asks)
+        parent = parent | {"customers": customers, "tables": tables}
+        for i, a in enumerate(answers):
+            state[i]["tables"] = py.pack(held[i].tables)
+            held[i] = py.Restaurants(state[i], 0.6)
+            held[i].hear([{"payload": a}], parent)
+            for _ in range(2):
+                held[i].sweep(np.random.default_rng([k, i, samples]))
+                if k >= burn_in:
+                    state[i]["sum"] = state[i].get("sum", 0) + held[i].predictive()
+        samples += 2 * (k >= burn_in)
+    return held, parent, [r.get("sum", 0) / max(1, samples) for r in state]
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_predictions_add_up_to_one(buckets):
+    """The probabilities of all words and the unknown one after a context sum to one, also when its dishes are dealt to several buckets."""
     texts = [t.encode() for t in lm_docs()[5:]]
-    chunk = py.Chunk([True] * len(texts), *py.tokenized(texts), 60)
-    rows = [{"keys": py.pack(np.diff(chunk.words, prepend=np.uint64(0))), "count": py.pack(chunk.count)}]
-    words, (_, distinct, once, twice) = py._answer_words(rows)
-    pairs, _ = py._answer_pairs([{"keys": py.pack(np.diff(chunk.keys, prepend=np.uint64(0))), "count": py.pack(chunk.pair_count[chunk.order])}])
-    seat = py.Seated(chunk, [{"payload": words[0]}], [{"payload": pairs[0]}], 0.6)
-    root = {"discount": 0.4, "uniform": 1 / (distinct + 1), "tables": distinct, "customers": 0}
-    for k in range(3):
-        contexts, dishes = seat.told()
-        ids = np.arange(len(chunk.words))
-        out, (customers, tables) = py._answer_tables(root, k)([{"bucket": 0, "keys": py.pack(np.diff(ids, prepend=0)), "count": py.pack(contexts), "more": py.pack(dishes)}])
-        root = root | {"customers": customers, "tables": tables}
-        seat.hear([{"payload": out[0]}], root)
-        new = (py.ROOT_STRENGTH + root["discount"] * root["tables"]) * root["uniform"]
-        unknown = new / (py.ROOT_STRENGTH + root["customers"])
-        assert math.isclose(seat.root_p[1:].sum() + unknown, 1, rel_tol=1e-9)
-        p = seat.predictive()
-        for u in (0, 2, 5):
-            mine = chunk.u == u
-            rest = 1 - seat.root_p[chunk.w[mine]].sum()
-            backing = (py.STRENGTH + 0.6 * seat.contexts[u]) / (py.STRENGTH + seat.total[u])
-            assert math.isclose(p[mine].sum() + backing * rest, 1, rel_tol=1e-9)
-        seat.sweep(k + 1)
-        assert (seat.tables[seat.count > 0] >= 1).all() and (seat.tables <= seat.count).all()
+    _, _, rows, parent, low = seated(texts, buckets)
+    held, parent, _ = rounds(rows, parent, low, 1, 9)
+    new = (py.ROOT_STRENGTH + parent["discount"] * parent["tables"]) * parent["uniform"]
+    words = {w: p for h in held for w, p in zip(h.dish_ids.tolist(), h.parent_p.tolist())}
+    assert math.isclose(sum(words.values()) + new / (py.ROOT_STRENGTH + parent["customers"]), 1, rel_tol=1e-9)
+    fresh = [py.Restaurants(r, 0.6) for r in rows]
+    (a, *more), _ = py._answer_parent(parent, 9, low)(0, [h.asks(low)[0] for h in fresh])
+    for h, x in zip(fresh, [a, *more]):
+        h.hear([{"payload": x}], parent)
+    words = {w: p for h in fresh for w, p in zip(h.dish_ids.tolist(), h.parent_p.tolist())}
+    contexts = {}
+    for h in fresh:
+        for u, w, p in zip(h.ids[h.u].tolist(), h.dish_ids[h.w].tolist(), h.predictive().tolist()):
+            contexts.setdefault(u, {})[w] = p
+        assert (h.tables[h.count > 0] >= 1).all() and (h.tables <= h.count).all()
+    assert any(len(h.split) for h in fresh) == (buckets > 1)
+    for h in fresh:
+        for u, i in zip(h.ids.tolist(), range(len(h.ids))):
+            backing = (py.STRENGTH + 0.6 * h.held[i]) / (py.STRENGTH + h.customers[i])
+            rest = 1 - sum(words[w] for w in contexts[u])
+            assert math.isclose(sum(contexts[u].values()) + backing * rest, 1, rel_tol=1e-9)
+
+
+def one_by_one(texts, uniform, sweeps, burn_in):
+    """Mean predictive probability of each pair, from a sampler that moves one customer at a time and keeps every table."""
+    rng = np.random.default_rng(11)
+    sequences = [[py.START, *(w for w in t.split()), py.END] for t in texts]
+    customers = [(a, b) for s in sequences for a, b in zip(s, s[1:])]
+    seats: dict = {}
+    root: dict = {}
+    total = {"tables": Counter(), "customers": Counter(), "root": 0, "root_tables": 0}
+
+    def root_p(w):
+        m = root.get(w, [])
+        return (sum(m) - 0.4 * len(m) + (py.ROOT_STRENGTH + 0.4 * total["root_tables"]) * uniform) / (py.ROOT_STRENGTH + total["root"])
+
+    def enter(tables, old, new):
+        weights = [x - old for x in tables] + [new]
+        k = rng.choice(len(weights), p=np.array(weights) / sum(weights))
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return tables[k] == 1
+
+    def leave(tables):
+        k = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def seat(u, w):
+        if enter(seats.setdefault((u, w), []), 0.6, (py.STRENGTH + 0.6 * total["tables"][u]) * root_p(w)):
+            total["tables"][u] += 1
+            total["root_tables"] += enter(root.setdefault(w, []), 0.4, (py.ROOT_STRENGTH + 0.4 * total["root_tables"]) * uniform)
+            total["root"] += 1
+        total["customers"][u] += 1
+
+    def unseat(u, w):
+        if leave(seats[u, w]):
+            total["tables"][u] -= 1
+            total["root_tables"] -= leave(root[w])
+            total["root"] -= 1
+        total["customers"][u] -= 1
+
+    for u, w in customers:
+        seat(u, w)
+    mean: Counter = Counter()
+    for k in range(sweeps):
+        for u, w in customers:
+            unseat(u, w)
+            seat(u, w)
+        if k >= burn_in:
+            for (u, w), t in seats.items():
+                mean[u, w] += (sum(t) - 0.6 * len(t) + (py.STRENGTH + 0.6 * total["tables"][u]) * root_p(w)) / (py.STRENGTH + total["customers"][u])
+    return {k: v / (sweeps - burn_in) for k, v in mean.items()}, sequences
+
+
+def test_sampler_agrees_with_one_customer_at_a_time():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{min(12, rng.geometric(0.3))}" for _ in range(rng.integers(3, 25))) for _ in range(16)]
+    chunk, order, rows, parent, low = seated([t.encode() for t in texts])
+    _, _, (p,) = rounds(rows, parent, low, 150, 50)
+    places = np.cumsum(py.unpack(rows[0]["places"][0]["places"]), dtype=np.uint64).astype(np.int64)
+    pair = np.empty(len(order))
+    pair[order] = p[places]
+    want, sequences = one_by_one(texts, parent["uniform"], 150, 50)
+    got = np.bincount(chunk.doc, np.log10(pair)[chunk.pair])
+    brute = np.array([sum(math.log10(want[x]) for x in zip(s, s[1:])) for s in sequences])
+    assert np.abs(got / brute - 1).max() < 0.03 and abs(got.sum() / brute.sum() - 1) < 0.01
+
+
+def test_tables_are_drawn_from_the_exact_conditional():
+    """Three customers of a dish: one, two or three tables, with weights by hand."""
+    d, p, s = 0.6, 0.2, 1.7
+    w = np.array([s * p * (1 - d) * (2 - d), s * (s + d) * p**2 * 3 * (1 - d), s * (s + d) * (s + 2 * d) * p**3])
+    drawn = py.seat(np.full(200_000, 3), np.full(200_000, s), np.full(200_000, p), d, np.random.default_rng(0))
+    assert np.abs(np.bincount(drawn, minlength=4)[1:] / 200_000 - w / w.sum()).max() < 0.005
+    many = py.seat(np.full(500, 5000), np.full(500, s), np.full(500, p), d, np.random.default_rng(0))
+    assert many.min() >= 1 and 2 < many.mean() < 20
+
+
+def test_tables_are_dropped(spark):
+    common.clean(spark)
+    df = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    py.score(df).collect()
+    left = list(common._TABLES)
+    assert 0 < len(left) <= 6 and all(spark.catalog.tableExists(t) for t in left)
+    assert common.clean(spark) == len(left) and not any(spark.catalog.tableExists(t) for t in left)
 
 
 def test_packing():
