@@ -11,20 +11,29 @@ length, probe the sorted hashes of all pieces; the best transition and its start
   is what merging by rank gives.  Summing a BPE model's scores, which are merge ranks, would give other pieces than the
   model's own for a good part of all words.
 
+A segment above ``LONGEST`` characters is a batch of its own: its substrings are probed all at once, then its positions
+advance one by one, with the same transitions and backpointers; none is cut.
+
 Characters without a piece become byte pieces, and so does a literal word mark (U+2581), which the library would turn
-into a blank.  ``decode`` therefore gives back every text exactly.  Segments above ``LONGEST`` characters of BPE models are merged one
-by one with a heap; none is cut.
+into a blank.  ``decode`` therefore gives back every text exactly.
+
+Workers remember the pieces of the segments they met last, within ``MEMORY`` bytes.  ``round_trip`` encodes and decodes in
+one worker.
 
-Defined results: null and empty texts have no pieces and decode to an empty text; repeated rows are encoded one by one;
-columns are kept, those named like an output are replaced; models with a character map are refused.
+Defined results: null and empty texts have no pieces and decode to an empty text; a very long text or word is encoded
+whole; repeated rows are encoded one by one; columns are kept, those named like an output are replaced; an empty table
+gives no rows; models with a character map are refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import itertools
 import re
 import struct
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -35,10 +44,12 @@ from . import common
 
 MARK, LITERAL = "▁", "\ud800"  # a lone surrogate cannot occur in UTF-8 text
 LONGEST = 48
-#: Segments whose pieces a worker remembers.
-CACHE = 600_000
+#: Bytes of segments and their pieces that a worker remembers.
+MEMORY = 160_000_000
 #: Bits of a hash that a first look compares, and of the table of seams that were decided before.
 SHORT, SEAMS = 20, 20
+#: Bytes of text that are encoded together.
+SLICE = 2_000_000
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NORMAL, _BYTE = 1, 6
@@ -76,6 +87,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
             at += n
 
 
+class Memory:
+    """Segments met lately and their pieces, in two generations of about half of ``MEMORY`` bytes each."""
+
+    def __init__(self) -> None:
+        self.young, self.old, self.held = {}, {}, 0
+
+    def pieces(self, found: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dictionary that has the pieces of the segments; ``make`` is asked for those that are not remembered."""
+        if self.held > MEMORY // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        missing = found - self.young.keys()
+        again = missing & self.old.keys()
+        new = list(missing - again)
+        more = {s: self.old[s] for s in again}
+        more.update(zip(new, make(new), strict=True))
+        self.held += sum(map(sys.getsizeof, more)) + sum(map(sys.getsizeof, more.values())) + 100 * len(more)  # 100: its place in the dictionary
+        self.young.update(more)
+        return self.young
+
+
 class Model:
     """Tables of a SentencePiece model; all of them are bounded by its vocabulary."""
 
@@ -206,8 +237,8 @@ class Model:
             at, a, b, limit = at[go], a[go], b[go], limit[go]
         return good
 
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Pieces of words of one length; characters without a piece are given as -1 - code point."""
+    def _viterbi(self, words: list[str]) -> list[bytes]:
+        """Pieces of words of one length, as bytes of 32-bit integers."""
         n, size = len(words), len(words[0])
         chars = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T).astype(np.uint64) + np.uint64(1)
         best = np.full((size + 1, n), -np.inf, np.float32)
@@ -250,87 +281,157 @@ class Model:
                         better = gain >= best[i, here]  # of equal paths, the one whose last piece starts first
                         here, ids, gain = here[better], ids[better], gain[better]
                         best[i, here], start[i, here], piece[i, here] = gain, j, ids
-        out: list[list[int]] = [[] for _ in words]
+        steps, count = [], np.zeros(n, np.int64)
         at, rows = np.full(n, size), np.arange(n)
         while len(rows):
-            for r, p in zip(rows.tolist(), piece[at[rows], rows].tolist(), strict=True):
-                out[r].append(p)
+            steps.append((rows, piece[at[rows], rows]))
+            count[rows] = len(steps)
             at[rows] = start[at[rows], rows]
             rows = rows[at[rows] > 0]
-        return [x[::-1] for x in out]
+        ends = np.cumsum(count)
+        flat = np.empty(ends[-1], np.int32)
+        for k, (rows, ids) in enumerate(steps):  # the last piece comes first
+            flat[ends[rows] - 1 - k] = ids
+        return self._bytes(flat, ends)
+
+    def _bytes(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Paths that follow each other, as bytes of 32-bit integers; characters without a piece become byte pieces."""
+        low = np.flatnonzero(flat < 0)
+        if len(low):
+            spelled = [[self.byte[b] for b in (MARK if -1 - i == ord(LITERAL) else chr(-1 - i)).encode()] for i in flat[low].tolist()]
+            more = np.array([len(x) - 1 for x in spelled])
+            ends = ends + np.concatenate(([0], np.cumsum(more)))[np.searchsorted(low, ends)]
+            size = np.ones(len(flat), np.int64)
+            size[low] += more
+            flat = np.repeat(flat, size)
+            flat[flat < 0] = np.concatenate(spelled)
+        data, at = flat.tobytes(), (4 * ends).tolist()
+        return [data[x:y] for x, y in zip([0, *at], at)]
+
+    def _viterbi_alone(self, word: str) -> bytes:
+        """Pieces of one long word, like :meth:`_viterbi`: substrings are probed together, positions follow one by one."""
+        size = len(word)
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        h = np.zeros(size + 1, np.uint64)  # of the substrings of m characters, by their end
+        parts = []
+        with np.errstate(over="ignore"):
+            for m in range(1, min(size, self.longest) + 1):
+                h = h[1:] + chars[: size - m + 1] * self.power[m - 1]
+                at = np.flatnonzero(self.maybe[h >> np.uint64(64 - SHORT)])
+                k = np.searchsorted(self.keys, h[at])
+                k[k == len(self.keys)] = 0
+                found = self.keys[k] == h[at]
+                at, ids = at[found], self.key_ids[k[found]]
+                if m == 1:
+                    every = -chars.astype(np.int64)
+                    every[at] = ids
+                    at, ids = np.arange(size), every
+                parts.append((at, at + m, ids))
+        start, end, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(end, kind="stable")
+        start, end, ids = start[order], end[order], ids[order]
+        edge = np.searchsorted(end, np.arange(size + 2))
+        good: set[int] = set()
+        if self.bpe:
+            for k in range(0, len(start), 100_000):  # seams of every piece with those that end where it starts
+                lo, n = edge[start[k : k + 100_000]], np.diff(edge)[start[k : k + 100_000]]
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                a, b = ids[at], np.repeat(ids[k : k + 100_000], n)
+                seam = np.unique((a * len(self.pieces) + b)[(a >= 0) & (b >= 0)])
+                a, b = np.divmod(seam, len(self.pieces))
+                good.update(seam[self._follows(self.rank[a], self.rank[b])].tolist())
+        best, back, piece = [np.float32(0)] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
+        gain = np.where(ids >= 0, self.score[ids], np.float32(self.unknown)).tolist() if not self.bpe else None
+        starts, options, edges, many = start.tolist(), ids.tolist(), edge.tolist(), len(self.pieces)
+        for i in range(1, size + 1):
+            top = -np.inf
+            for k in range(edges[i], edges[i + 1]):
+                j, p = starts[k], options[k]
+                if self.bpe:
+                    if not j or p < 0 or piece[j] < 0 or piece[j] * many + p in good:
+                        back[i], piece[i] = j, p
+                        break
+                elif (value := best[j] + np.float32(gain[k])) >= top:
+                    top = best[i] = value
+                    back[i], piece[i] = j, p
+        out, i = [], size
+        while i:
+            out.append(piece[i])
+            i = back[i]
+        return self._bytes(np.array(out[::-1], np.int32), np.array([len(out)]))[0]
 
     def segments(self, found: list[str]) -> list[bytes]:
         """Piece ids of distinct segments, as bytes of 32-bit integers."""
-        runs, cores = [], []
-        for s in found:
-            rest = s.lstrip(MARK)
-            run = len(s) - len(rest)
-            if self.bpe and run:
-                rest, run = (MARK + rest, run - 1) if rest else ("", run)
-            elif run:
-                rest, run = s, 0
-            if rest[:1] == "\n":
-                rest, run = rest[1:], -1
-            runs.append(run)
-            cores.append(rest)
+        cores = found.copy()
+        runs = {}  # blanks in front of a core, or -1 for a line break; most segments have one mark and are cores
+        for k, s in enumerate(found):
+            if s[0] == MARK:
+                if s[1:2] in ("", MARK):
+                    rest = s.lstrip(MARK)
+                    run = len(s) - len(rest)
+                    if self.bpe:
+                        rest, run = (MARK + rest, run - 1) if rest else ("", run)
+                        cores[k], runs[k] = rest, run
+            elif s[0] == "\n":
+                cores[k], runs[k] = s[1:], -1
         by_size: dict[int, list[str]] = {}
         for c in dict.fromkeys(cores):
             by_size.setdefault(len(c), []).append(c)
-        done: dict[str, list[int]] = {"": []}
+        done = {"": b""}
         for size, words in by_size.items():
-            if size and size <= LONGEST or size and not self.bpe:
+            if 0 < size <= LONGEST:
                 most = max(1, 400_000 // size)
                 for k in range(0, len(words), most):
                     some = words[k : k + most]
                     done.update(zip(some, self._viterbi(some), strict=True))
             elif size:
-                done.update((w, [self.ids.get(p, -1 - ord(p[0])) for p in self.merge(w)]) for w in words)
-        return [self._joined(run, done[c]) for run, c in zip(runs, cores, strict=True)]
-
-    def _joined(self, run: int, ids: list[int]) -> bytes:
+                done.update((w, self._viterbi_alone(w)) for w in words)
+        out = [done[c] for c in cores]
+        for k, run in runs.items():
+            out[k] = self._joined(run, out[k])
+        return out
+
+    def _joined(self, run: int, core: bytes) -> bytes:
+        """A core's pieces with the blanks or the line break in front."""
         if run < 0:
-            ids = [self.byte[10], *ids]
-        elif run:
+            return struct.pack("<i", self.byte[10]) + core
+        if run:
             # Blanks merge last, from the left, into the longest pieces there are; a mark that no letter took is one of them.
-            if ids and ids[0] == self.ids.get(MARK):
-                run, ids = run + 1, ids[1:]
+            if core[:4] == struct.pack("<i", self.ids.get(MARK, -1)):
+                run, core = run + 1, core[4:]
             blanks = []
             while run:
                 size = next(k for k in range(run, 0, -1) if MARK * k in self.ids)
                 blanks.append(self.ids[MARK * size])
                 run -= size
-            ids = blanks + ids
-        out = ids
-        if min(ids, default=0) < 0:
-            out = [x for i in ids for x in ([i] if i >= 0 else [self.byte[b] for b in (MARK if -1 - i == ord(LITERAL) else chr(-1 - i)).encode()])]
-        return struct.pack(f"<{len(out)}i", *out)
+            core = struct.pack(f"<{len(blanks)}i", *blanks) + core
+        return core
 
-    def encode(self, texts: list[str], cache: dict[str, bytes] | None = None) -> list[np.ndarray]:
+    def encode(self, texts: list[str], memory: Memory | None = None) -> list[np.ndarray]:
         """Piece ids of texts."""
-        cache = {} if cache is None else cache
-        if len(cache) > CACHE:
-            cache.clear()
         split = []
         for t in texts:
             if MARK in t:
                 t = t.replace(MARK, LITERAL)
             split.append(_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [])
-        new = list({s for seg in split for s in seg if s not in cache})
-        cache.update(zip(new, self.segments(new), strict=True))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, seg)), np.int32) for seg in split]
+        here = (Memory() if memory is None else memory).pieces(set(itertools.chain.from_iterable(split)), self.segments)
+        return [np.frombuffer(b"".join(map(here.__getitem__, seg)), np.int32) for seg in split]
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
 
 
-#: Pieces of segments by model, kept by a Python worker from one task to the next.
-_REMEMBERED: dict[str, dict[str, bytes]] = {}
+#: What a Python worker remembers from one task to the next, for the model it used last.
+_REMEMBERED: dict[str, Memory] = {}
 
 
-def remembered(model: Model) -> dict[str, bytes]:
-    """This worker's cache of a model."""
-    return _REMEMBERED.setdefault(model.name, {})
+def remembered(model: Model) -> Memory:
+    """This worker's memory for a model."""
+    if model.name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[model.name] = Memory()
+    return _REMEMBERED[model.name]
 
 
 def _load(spark: SparkSession, path: str | None):
@@ -345,7 +446,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, ids: s
     def make(batch, texts):
         return [held.value.encode([t.decode() for t in texts], remembered(held.value))]
 
-    return common.appended(docs, text, f"{ids} array<int>", make, 2_000_000)
+    return common.appended(docs, text, f"{ids} array<int>", make, SLICE)
 
 
 def decode(df: DataFrame, ids: str = "piece_ids", text: str = "decoded", model: str | None = None) -> DataFrame:
@@ -354,15 +455,26 @@ def decode(df: DataFrame, ids: str = "piece_ids", text: str = "decoded", model:
 
     @F.pandas_udf("string")
     def texts(column):
-        return column.map(lambda x: "" if x is None else held.value.decode(x))
+        return column.map(lambda x: "" if x is None else held.value.decode(x.tolist()))
 
     return df.withColumn(text, texts(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
+    """``docs`` with ``piece_ids``, ``n_pieces``, the digest of the text they decode to and whether it is the one they came from.
+
+    Encoding and decoding share a worker, so that only one of them holds the model and decoded texts stay there.
+    """
+    held = _load(docs.sparkSession, model)
+
+    def make(batch, texts):
+        ids = held.value.encode([t.decode() for t in texts], remembered(held.value))
+        back = [held.value.decode(x.tolist()).encode() for x in ids]
+        return [ids, [len(x) for x in ids], [hashlib.sha256(t).hexdigest() for t in back], [t == b for t, b in zip(texts, back, strict=True)]]
+
+    return common.appended(docs, text, "piece_ids array<int>, n_pieces bigint, decoded_sha256 string, exact boolean", make, SLICE)
+
+
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents, and whether they decode to the text they came from."""
-    done = decode(encode(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return done.select(
-        "doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
-    )
+    return round_trip(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

@@ -51,9 +51,29 @@ def test_unigram_paths_are_the_best(model):
 
     words = ["▁hello", "▁world", "▁thest", "▁ération", "zq日x"]
     for w in words:
-        (ids,) = uni._viterbi([w])
-        assert "".join(uni.pieces[i] if i >= 0 else chr(-1 - i) for i in ids) == w
-        assert np.isclose(sum(float(score[i]) if i >= 0 else uni.unknown for i in ids), best(w))
+        for got in (uni._viterbi([w])[0], uni._viterbi_alone(w)):
+            ids = np.frombuffer(got, np.int32).tolist()
+            spelled = [i for i in ids if uni.byte[0] <= i <= uni.byte[255]]
+            assert b"".join(uni.raw[i] for i in ids).decode() == w.replace(s.MARK, " ")
+            missing = sum(c not in uni.ids for c in w)
+            assert np.isclose(sum(float(score[i]) for i in ids if i not in spelled) + missing * uni.unknown, best(w))
+
+
+def test_long_words_follow_the_same_paths(model, library):
+    letters = "".join(w for w in "The quick brown fox jumps over the lazy dog and runs away from here".split()) * 40
+    for size in (s.LONGEST - 1, s.LONGEST, s.LONGEST + 1, 300, 2000):
+        for k in range(5):
+            w = letters[7 * k : 7 * k + size]
+            assert model._viterbi([w])[0] == model._viterbi_alone(w)
+            assert model.encode([w])[0].tolist() == library.encode(w)
+
+
+def test_memory_is_bounded(model, monkeypatch):
+    monkeypatch.setattr(s, "MEMORY", 40_000)
+    memory = s.Memory()
+    texts = [" ".join(f"word{i * 37 % 1000}x{i}" for i in range(k, k + 50)) for k in range(0, 2000, 25)]
+    assert [x.tolist() for t in texts for x in model.encode([t], memory)] == [x.tolist() for x in model.encode(texts)]
+    assert memory.held < 40_000 and len(memory.young) + len(memory.old) < 400
 
 
 def test_frames(spark):
@@ -61,5 +81,8 @@ def test_frames(spark):
     done = s.decode(s.encode(df)).collect()
     assert [r.decoded for r in done] == ["", "", "a  b", "a  b"] and done[0].piece_ids == []
     assert s.decode(s.encode(df.limit(0))).count() == 0
+    both = s.round_trip(df.withColumn("exact", s.F.lit(0))).collect()
+    assert all(r.exact is True for r in both) and [r.piece_ids for r in both] == [r.piece_ids for r in done]
+    assert s.round_trip(df.limit(0)).count() == 0
     small = s.op2_sentence_pieces(spark, "/root/testdata/sf0.001")
     assert small.where("NOT exact").count() == 0 and small.count() == 200
