@@ -39,8 +39,24 @@ def test_against_brute_force(spark):
 
 def test_stages_keep_columns_and_take_empty_tables(spark):
     docs = common.table(spark, D, "documents").limit(30)
-    odd = docs.withColumn("spans", docs.doc_id).withColumn("n_words", docs.doc_id)
-    for frame in (odd, odd.limit(0)):
+    taken = ["spans", "n_words", "fail_bits", "kept", "n_hit", "items", "component_id", "__before"]
+    odd = docs.withColumns({c: docs.doc_id.cast("string") for c in taken})
+    for frame in (odd, odd.drop("n_chars"), odd.limit(0)):
         for name, stage in p.STAGES[:-1]:
-            assert stage(spark, frame, D).columns == odd.columns, name
-    assert p.STAGES[-1][1](spark, odd.limit(0), D).count() == 0
+            out = stage(spark, frame, D)
+            assert out.columns == frame.columns, name
+            assert all(r[c] == str(r.doc_id) for r in out.collect() for c in taken), name
+    last = p.STAGES[-1][1]
+    assert last(spark, odd.limit(0), D).count() == 0
+    again = last(spark, docs.withColumn("piece_ids", docs.doc_id).withColumn("exact", docs.doc_id), D)
+    assert sorted(again.columns) == sorted({*docs.columns, "piece_ids", "n_pieces", "exact"}) and again.where("exact").count() == 30
+
+
+def test_stages_take_odd_rows(spark):
+    long = "Some words of a long text that nobody wrote before, number %d. "
+    rows = [(1, None), (2, ""), (3, " \n"), (None, "".join(long % i for i in range(300))), (5, "".join(long % (i * 7) for i in range(300))), (5, "".join(long % (i * 7) for i in range(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, stage in p.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, D).collect(), stage(spark, docs, D).schema)
+        assert docs.count() <= 6, name
+    assert docs.where("NOT exact").count() == 0
