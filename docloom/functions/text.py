@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def plain_tokens(text: Column | str) -> Column:
 
 def padded(text: Column | str) -> Column:
     """Lower-case text in which words stand between single blanks, for phrase search at word boundaries."""
-    return F.concat(F.lit(" "), F.array_join(plain_tokens(text), " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(col(text)), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
 def has_phrase(text: Column | str, phrases) -> Column:
@@ -51,6 +53,23 @@ def has_phrase(text: Column | str, phrases) -> Column:
     return let(padded(text), lambda t: F.exists(F.array(*(F.lit(f" {p} ") for p in phrases)), lambda p: F.contains(t, p)))
 
 
+def _holds(form: Column, phrases) -> Column:
+    """Whether a text in the form of :func:`padded` has any phrase."""
+    return reduce(lambda a, b: a | b, (F.contains(form, F.lit(f" {p} ")) for p in phrases), F.lit(False))
+
+
+def flags(text: Column | str, lexicon: dict) -> Column:
+    """A struct with a flag for each entry of a lexicon (name: phrases); the text is normalised once."""
+    return let(padded(text), lambda t: F.struct(*(_holds(t, phrases).alias(name) for name, phrases in lexicon.items())))
+
+
+def sentence_counts(text: Column | str, lexicon: dict) -> Column:
+    """Number of a text's sentences, and of those with each entry of a lexicon, without exploding them."""
+    forms = F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(SENTENCE), F.lit(0)), padded)
+    count = lambda ss, phrases: F.size(F.filter(ss, lambda t: _holds(t, phrases))).cast("bigint")
+    return let(forms, lambda ss: F.struct(F.size(ss).cast("bigint").alias("n_sentences"), *(count(ss, phrases).alias(name) for name, phrases in lexicon.items())))
+
+
 def ai_label(text: Column | str) -> Column:
     """AI_EXPLICIT, AI_IMPLICIT or AI_NONE."""
     return F.when(has_phrase(text, AI_EXPLICIT), "AI_EXPLICIT").when(has_phrase(text, AI_IMPLICIT), "AI_IMPLICIT").otherwise("AI_NONE")
@@ -86,6 +105,21 @@ def evidence(text: Column | str, phrase: str, around: int = 20) -> Column:
     )
 
 
+def evidence_all(text: Column | str, phrase: str, around: int = 20) -> Column:
+    """start, stop and excerpt of every occurrence of a phrase, none of which overlap."""
+    t = col(text)
+    n = len(phrase)
+    parts = F.slice(F.split(t, "\\Q" + phrase + "\\E", -1), 1, F.size(F.split(t, "\\Q" + phrase + "\\E", -1)) - 1)
+    starts = F.aggregate(parts, F.array().cast("array<int>"), lambda at, p: F.concat(at, F.array(F.when(F.size(at) > 0, F.get(at, F.size(at) - 1) + n).otherwise(0) + F.length(p))))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + n).alias("stop"), F.substr(t, F.greatest(s + 1 - around, F.lit(1)), s + 1 - F.greatest(s + 1 - around, F.lit(1)) + n + around).alias("excerpt")))
+
+
+def quality_reasons(public: Column, authoritative: Column, text: Column | str, published: Column, relevant: Column, least: int = 200) -> Column:
+    """The criteria of the corpus that a document fails; none for one that may stay.  Unknown counts as failed."""
+    tests = {"not_public": public, "not_authoritative": authoritative, "not_readable": F.length(F.trim(col(text))) >= least, "undated": published.isNotNull(), "not_relevant": relevant}
+    return F.filter(F.array(*(F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(name)) for name, ok in tests.items())), lambda r: r.isNotNull())
+
+
 def document_type(url: Column | str, title: Column | str) -> Column:
     """Rule-based type: filing, transcript, press release, blog, media, event, else unknown."""
     u, t = F.lower(col(url)), F.lower(col(title))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from docloom.functions.base import col
 from docloom.functions.urls import extract_domain
@@ -54,20 +59,38 @@ def schedule(requests: DataFrame, domain: str, arrival: str, order: str, interva
 def adaptive_rates(log: DataFrame, domain: str, order: str, failed: str, start: float = DEFAULT_DELAY) -> DataFrame:
     """Rate and error count of each domain after its whole log.
 
-    Each outcome depends on the state before it, so a domain's outcomes are folded in order, as one flag a request.
-    From the third counted error on the rate halves, down to a floor; a success takes one error back and raises the
-    rate by a tenth, up to where it started, while errors are counted.
+    Each outcome depends on the state before it, so sorted partitions are folded as a stream: a domain's log is read
+    once, in batches, and only its state is held.  From the third counted error on the rate halves, down to a floor; a
+    success takes one error back and raises the rate by a tenth, up to where it started, while errors are counted.
     """
-    outcomes = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(failed).alias("f")))), lambda x: x["f"])
-    zero = F.struct(F.lit(start).alias("rate"), F.lit(0).alias("errors"))
-
-    def step(s: Column, f: Column) -> Column:
-        more = F.struct(F.when(s["errors"] + 1 >= ERRORS_BEFORE_SLOW_DOWN, F.greatest(F.lit(MIN_RATE), s["rate"] * SLOW_DOWN)).otherwise(s["rate"]).alias("rate"), (s["errors"] + 1).alias("errors"))
-        less = F.struct(F.when(s["errors"] > 0, F.least(F.lit(start), s["rate"] * SPEED_UP)).otherwise(s["rate"]).alias("rate"), F.greatest(s["errors"] - 1, F.lit(0)).alias("errors"))
-        return F.when(f, more).otherwise(less)
-
-    folded = log.groupBy(domain).agg(outcomes.alias("o")).withColumn("s", F.aggregate("o", zero, step))
-    return folded.select(domain, F.size("o").cast("bigint").alias("requests"), F.col("s.errors").alias("error_count"), F.col("s.rate").alias("current_rate"))
+    kind = log.schema[domain].dataType
+    rows = log.select(F.col(domain), F.col(order).alias("__order"), F.col(failed).alias("__failed")).repartition(domain).sortWithinPartitions(domain, "__order")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, now = [], None
+        for batch in batches:
+            for key, bad in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if now is None or now[0] != key:
+                    now = [key, 0, 0, start]
+                    done.append(now)
+                now[1] += 1
+                if bad:
+                    now[2] += 1
+                    if now[2] >= ERRORS_BEFORE_SLOW_DOWN:
+                        now[3] = max(MIN_RATE, now[3] * SLOW_DOWN)
+                elif now[2] > 0:
+                    now[2], now[3] = now[2] - 1, min(start, now[3] * SPEED_UP)
+            if len(done) > 1:
+                yield made(done[:-1])
+                done = done[-1:]
+        if done:
+            yield made(done)
+
+    def made(states: list[list]) -> pa.RecordBatch:
+        kinds = (to_arrow_type(kind), pa.int64(), pa.int32(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*states), kinds)], [domain, "requests", "error_count", "current_rate"])
+
+    return rows.mapInArrow(fold, StructType([StructField(domain, kind), StructField("requests", LongType()), StructField("error_count", IntegerType()), StructField("current_rate", DoubleType())]))
 
 
 def domain_stats(log: DataFrame, domain: str, failed: Column) -> DataFrame:
@@ -103,6 +126,12 @@ def fresh(cache: DataFrame, fetched_at: str, now: Column, ttl: int = ROBOTS_TTL)
     return cache.where(now - F.col(fetched_at) < ttl)
 
 
+def cache_stats(cache: DataFrame, fetched_at: str, now: Column, ttl: int = ROBOTS_TTL) -> DataFrame:
+    """Entries of a cache, and those that are still fresh."""
+    is_fresh = now - F.col(fetched_at) < ttl
+    return cache.agg(F.count("*").alias("cache_size"), F.coalesce(F.sum(is_fresh.cast("bigint")), F.lit(0).cast("bigint")).alias("n_fresh"))
+
+
 def parse_robots(files: DataFrame, host: str = "host", body: str = "body", agent: str = "*") -> DataFrame:
     """host, pos, allow, prefix and delay of the rules that hold for an agent, in file order.
 
@@ -155,4 +184,4 @@ def plan(candidates: DataFrame, domains: DataFrame, rules: DataFrame, sites: Dat
     """Verdict for every URL: robots, allowlist rate with default, and delay.  One shuffle by host replaces per-domain locks."""
     judged = robots_verdicts(candidates, rules, sites, url).withColumn("domain", extract_domain(url))
     rates = domains.select("domain", "requests_per_second")
-    return judged.join(F.broadcast(rates), "domain", "left").withColumn("rate", F.least(F.coalesce("requests_per_second", F.lit(1.0)), 1 / F.col("crawl_delay"))).drop("requests_per_second")
+    return judged.join(rates, "domain", "left").withColumn("rate", F.least(F.coalesce("requests_per_second", F.lit(1.0)), 1 / F.col("crawl_delay"))).drop("requests_per_second")

@@ -96,3 +96,22 @@ def join_audit(joined: DataFrame, at: str, available: str, value: str) -> DataFr
         F.col(at).alias("asked_at"), F.col(available).alias("found_at"), F.datediff(at, available).alias("age_days"),
         F.col(value).isNotNull().alias("found"), F.coalesce(F.col(available) > F.col(at), F.lit(False)).alias("leaks"),
     )
+
+
+def published_before(df: DataFrame, published: str, quarter_start: str) -> DataFrame:
+    """How many documents were used in a quarter that ended before, or on the day, they were published, or whose date is unknown."""
+    late = F.col(published).isNull() | (F.col(published) >= F.add_months(quarter_start, 3))
+    return df.groupBy(quarter_start).agg(F.count("*").alias("n_rows"), F.sum(F.coalesce(late, F.lit(True)).cast("bigint")).alias("violations"))
+
+
+def with_labels(features: DataFrame, labels: DataFrame, key: str = "quarter_id") -> DataFrame:
+    """Features and labels of the same quarter; quarters with only one of them go, and a quarter that is labelled twice fails the job."""
+    once = labels.groupBy(key).agg(*(F.first(c).alias(c) for c in labels.columns if c != key), F.count("*").alias("__n"))
+    once = once.withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("labelled twice: "), F.col(key).cast("string")))).otherwise(F.col("__n")))
+    return features.join(once.where("__n = 1").drop("__n"), key)
+
+
+def z_score(df: DataFrame, value: str, train: Column) -> DataFrame:
+    """``value_z``: the value less the training rows' mean, in their sample deviations."""
+    known = df.where(train).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
+    return df.join(F.broadcast(known)).withColumn(f"{value}_z", F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd")  # one row

@@ -14,18 +14,42 @@ EDGE_TYPES = ("MENTIONS", "DISCLOSES", "ANNOUNCES", "ASSOCIATED_WITH")
 EXTRACTOR_VERSION = "docloom-1"
 
 
+#: Aliases that are looked for inside each row; a longer lexicon meets the words of the sentences in a join.
+FEW_ALIASES = 200
+
+
 def mentions(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Sentences that hold an alias of an entity at word boundaries.
 
-    ``lexicon`` has entity_id, entity_type and alias.  Word n-grams of the sentence meet the aliases in an equi-join,
-    which adaptive execution broadcasts while the lexicon is small and shuffles beyond.
+    ``lexicon`` has entity_id, entity_type and alias.  Up to ``FEW_ALIASES`` of them, which is checked, are matched in the
+    row, and only hits are exploded: no shuffle.  Of a longer lexicon, word n-grams meet the aliases in an equi-join by
+    sentence id; sentences are joined to the hits afterwards.
     """
     aliases = lexicon.select("entity_id", "entity_type", F.trim(padded("alias")).alias("gram")).where("gram <> ''").distinct()
+    few = aliases.limit(FEW_ALIASES + 1).collect()
+    if len(few) <= FEW_ALIASES:
+        kind = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in aliases.schema) + ">"
+        held = F.array(*(F.struct(*(F.lit(v) for v in r)).cast(kind) for r in few)).cast(f"array<{kind}>")
+        hits = let(padded("sentence"), lambda t: F.filter(held, lambda a: F.contains(t, F.concat(F.lit(" "), a["gram"], F.lit(" ")))))
+        return sentences.select("doc_id", "sentence_id", "sentence", F.explode(hits).alias("a")).select("doc_id", "sentence_id", "sentence", "a.*")
     sizes = [r[0] for r in aliases.select(F.size(F.split("gram", " "))).distinct().collect()]  # a few lengths of phrases
     grams = lambda n: lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
     tokens = F.split(F.trim(padded("sentence")), " ", -1)
-    every = let(tokens, lambda t: F.array_distinct(F.concat(*(grams(n)(t) for n in sizes)))) if sizes else F.array().cast("array<string>")
-    return sentences.select("doc_id", "sentence_id", "sentence", F.explode(every).alias("gram")).join(aliases, "gram")
+    every = let(tokens, lambda t: F.array_distinct(F.concat(*(grams(n)(t) for n in sizes))))
+    found = sentences.select("doc_id", "sentence_id", F.explode(every).alias("gram")).join(aliases, "gram")
+    return found.join(sentences.select("doc_id", "sentence_id", "sentence").dropDuplicates(["doc_id", "sentence_id"]), ["doc_id", "sentence_id"])
+
+
+def canonical(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+    """``df`` with ``entity``: the name that an alias map (alias, entity) gives a value, whatever its case and punctuation, else the value."""
+    known = aliases.groupBy(F.trim(padded("alias")).alias("__form")).agg(F.min("entity").alias("__entity"))
+    found = df.withColumn("__form", F.trim(padded(column))).join(known, "__form", "left")
+    return found.withColumn("entity", F.coalesce("__entity", column)).drop("__form", "__entity")
+
+
+def entity_counts(found: DataFrame, entity_type: str = "entity_type", entity: str = "entity_id") -> DataFrame:
+    """Distinct entities of each type."""
+    return found.groupBy(entity_type).agg(F.countDistinct(entity).alias("n_entities"))
 
 
 def edges(found: DataFrame, edge_type: str, source_url: Column, extracted_at: Column, confidence: float = 1.0) -> DataFrame:

@@ -10,7 +10,7 @@ import json
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import evaluate
@@ -84,7 +84,5 @@ def report(predicted: DataFrame, label: str = "label") -> str:
 def save(model, path: str, features: list[str], data_hash: int) -> None:
     """The model with its features, seed and the hash of its training data."""
     model.write().overwrite().save(f"{path.rstrip('/')}/model")
-    spark = model.summary.predictions.sparkSession if getattr(model, "hasSummary", False) else None
     meta = json.dumps({"features": features, "seed": SEED, "data_hash": data_hash})
-    if spark is not None:
-        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/metadata")
+    SparkSession.active().createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/metadata")

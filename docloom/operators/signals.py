@@ -9,6 +9,8 @@ from docloom.functions.base import col
 
 # Coverage targets of the corpus plan.
 MIN_DOCS_PER_YEAR, MIN_AI_DOCS_PER_YEAR, AI_FROM_YEAR = 15, 30, 2020
+# Least and most documents of each source type.
+TYPE_TARGETS = {"sec_filing": (40, 50), "sec_8k": (50, 80), "earnings_transcript": (40, 50), "press_release": (80, 120), "blog": (50, 80), "news_media": (50, 100)}
 
 
 def quarter(at: Column | str) -> Column:
@@ -26,6 +28,20 @@ def against_target(counts: DataFrame, n: str, least: int) -> DataFrame:
     return counts.withColumns({"target": F.lit(least), "status": F.when(F.col(n) >= least, "met").otherwise("below"), "missing": F.greatest(F.lit(least) - F.col(n), F.lit(0))})
 
 
+def against_ranges(counts: DataFrame, by: str, n: str, targets: dict[str, tuple[int, int]]) -> DataFrame:
+    """Counts of each kind against its own least and most; kinds without rows count zero, kinds without a target have none."""
+    goals = counts.sparkSession.createDataFrame([(k, *v) for k, v in targets.items()], f"{by} string, target_min int, target_max int")
+    n_or_zero = F.coalesce(F.col(n), F.lit(0))
+    status = F.when(F.col("target_min").isNull(), F.lit(None)).when(n_or_zero < F.col("target_min"), "below").when(n_or_zero > F.col("target_max"), "above").otherwise("met")
+    return counts.join(goals, by, "full").select(by, n_or_zero.cast("bigint").alias(n), "target_min", "target_max", status.alias("status"))
+
+
+def intensity(df: DataFrame, at: str, kind: str, weight: str) -> DataFrame:
+    """Events of each month and kind, their summed weight and the mean weight."""
+    by = df.groupBy(F.date_trunc("month", F.col(at).cast("timestamp")).cast("date").alias("month"), kind)
+    return by.agg(F.count("*").alias("n_events"), F.sum(weight).alias("weight"), F.avg(weight).alias("intensity"))
+
+
 def spine(df: DataFrame, at: str) -> DataFrame:
     """Every quarter from the first to the last one; its size depends on the calendar, not on the rows."""
     bounds = df.agg(F.min(quarter(at)).alias("lo"), F.max(quarter(at)).alias("hi"))

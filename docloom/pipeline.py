@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-import sys
+import argparse
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.functions.urls import extract_domain
+from docloom.functions.urls import extract_domain, url_hash
 from docloom.operators import dedup, features, graph, signals
-from docloom.sources import documents, domains
+from docloom.sources import documents, domains, seeds
 from docloom.sources.tables import table
 
 
-def ingest(spark: SparkSession, source: str, out: str) -> DataFrame:
-    """Pages as documents, one for each content, with the smallest URL hash as the representative."""
+def queue(spark: SparkSession, folder: str, since: int | None = None, limit: int | None = None) -> DataFrame:
+    """The crawl queue of a folder of seed files."""
+    return seeds.crawl_queue(seeds.read(spark, folder), since, limit)
+
+
+def ingest(spark: SparkSession, source: str, out: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Pages as documents, one for each content, with the smallest URL hash as the representative; ``wanted`` (url) restricts them."""
     docs = documents.pages_as_documents(table(spark, source, "pages").select("url", "html"))
+    if wanted is not None:
+        docs = dedup.seen(docs, wanted.select(url_hash("url").alias("url_hash")), "url_hash")
     rated = domains.lookup(docs.withColumn("domain", extract_domain("url"))).drop("domain")
     return dedup.latest(rated.withColumn("__order", F.col("url_hash")), "content_hash", "__order").drop("__order")
 
@@ -50,13 +58,30 @@ def train(spark: SparkSession, source: str, out: str) -> DataFrame:
 STAGES = {"ingest": ingest, "build": build, "transform": transform, "signals": quarterly, "train": train}
 
 
-def run(spark: SparkSession, stage: str, source: str, out: str) -> DataFrame:
+def run(spark: SparkSession, stage: str, source: str, out: str, **options) -> DataFrame:
     """One stage, written below ``out`` and read back."""
-    STAGES[stage](spark, source, out).write.mode("overwrite").parquet(f"{out}/{stage}")
+    STAGES[stage](spark, source, out, **options).write.mode("overwrite").parquet(f"{out}/{stage}")
     return spark.read.parquet(f"{out}/{stage}")
 
 
-if __name__ == "__main__":
+def main(argv: Sequence[str] | None = None) -> None:
+    """The command line: stage or ``all``, source and output folders; seed files can restrict what is ingested."""
+    parser = argparse.ArgumentParser(prog="docloom.pipeline")
+    parser.add_argument("stage", choices=[*STAGES, "all"])
+    parser.add_argument("source")
+    parser.add_argument("out")
+    parser.add_argument("--seeds", help="folder of seed files; only their URLs are ingested")
+    parser.add_argument("--since", type=int, help="leave out seeds of earlier fiscal years")
+    parser.add_argument("--limit", type=int, help="take so many seeds at most, in the order of their priority")
+    args = parser.parse_args(argv)
     session = SparkSession.builder.appName("docloom").getOrCreate()
-    for name in STAGES if sys.argv[1] == "all" else sys.argv[1:2]:
-        run(session, name, sys.argv[2], sys.argv[3])
+    for name in STAGES if args.stage == "all" else [args.stage]:
+        options = {}
+        if name == "ingest" and args.seeds:
+            queue(session, args.seeds, args.since, args.limit).write.mode("overwrite").parquet(f"{args.out}/queue")
+            options["wanted"] = session.read.parquet(f"{args.out}/queue")
+        run(session, name, args.source, args.out, **options)
+
+
+if __name__ == "__main__":
+    main()

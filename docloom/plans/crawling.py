@@ -78,9 +78,42 @@ def robots_verdict(spark, d):
     return out.select("page_id", "allowed", "crawl_delay", "reason")
 
 
-QUERIES = {f.__name__: f for f in (request_gap, request_schedule, domain_stats, rate_adaptive, backoff_table, retry_outcome, daily_cap, robots_fresh, robots_verdict)}
+def crawl_plan(spark, d):
+    """The plan of all pages: verdict, delay and rate; hosts with an even number of letters have a rate of their own."""
+    sites = _sites(spark, d)
+    rules = crawl.parse_robots(sites.where("status = 200"), agent="docloom/1.0")
+    rates = sites.where(F.length("host") % 2 == 0).select(F.col("host").alias("domain"), F.lit(0.25).alias("requests_per_second"))
+    out = crawl.plan(table(spark, d, "pages").select("page_id", "url"), rates, rules, sites.select("host", "status"))
+    return out.select("page_id", "domain", "allowed", "crawl_delay", "rate")
+
+
+def cache_size(spark, d):
+    """Entries of the log as a cache, and those that are fresh at its end."""
+    log = _log(spark, d).select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("fetched_at"))
+    end = log.agg(F.max("fetched_at").alias("now"))
+    return crawl.cache_stats(log.join(F.broadcast(end)), "fetched_at", F.col("now"), DAY)
+
 
+def request_delays(spark, d):
+    """Least seconds between the requests of each domain at its rate after the whole log."""
+    rates = crawl.adaptive_rates(_log(spark, d), "user_id", "event_id", "failed")
+    return rates.select("user_id", F.round(crawl.min_delay("current_rate"), 6).alias("seconds"))
+
+
+QUERIES = {f.__name__: f for f in (crawl_plan, cache_size, request_delays, request_gap, request_schedule, domain_stats, rate_adaptive, backoff_table, retry_outcome, daily_cap, robots_fresh, robots_verdict)}
+
+_RATES = """WITH RECURSIVE x AS (SELECT user_id, event_type = 'error' AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+        s(user_id, i, rate, errors) AS (SELECT user_id, 0, CAST(1 AS DOUBLE), 0 FROM (SELECT DISTINCT user_id FROM x) UNION ALL
+          SELECT x.user_id, s.i + 1, CASE WHEN f THEN CASE WHEN errors + 1 >= 3 THEN greatest(0.1, rate * 0.5) ELSE rate END WHEN errors > 0 THEN least(1.0, rate * 1.1) ELSE rate END,
+                 CASE WHEN f THEN errors + 1 ELSE greatest(errors - 1, 0) END FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i + 1),
+        last AS (SELECT * FROM s WHERE i = (SELECT max(i) FROM x WHERE x.user_id = s.user_id))"""
 ORACLES = {
+    "crawl_plan": """WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
+        v AS (SELECT page_id, host, CASE WHEN length(host) % 5 IN (0, 1) THEN false WHEN starts_with(path, '/de/1') THEN true WHEN starts_with(path, '/de/') THEN false WHEN starts_with(path, '/fr/2') THEN false ELSE true END AS allowed,
+              CAST(CASE WHEN length(host) % 5 IN (0, 1) THEN 1.0 ELSE 2.0 END AS DOUBLE) AS crawl_delay FROM h)
+        SELECT page_id, host AS domain, allowed, crawl_delay, least(CASE WHEN length(host) % 2 = 0 THEN CAST(0.25 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, 1 / crawl_delay) AS rate FROM v""",
+    "cache_size": f"SELECT count(*) AS cache_size, count(*) FILTER ((SELECT epoch_us(max(ts)) // 1000000 FROM events) - epoch_us(ts) // 1000000 < {DAY}) AS n_fresh FROM events",
+    "request_delays": _RATES + " SELECT user_id, round(1 / rate, 6) AS seconds FROM last",
     "request_gap": "SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events",
     "request_schedule": f"""WITH x AS (SELECT event_id, user_id, ts, epoch_us(ts) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
         y AS (SELECT event_id, a, CAST(i * {DAY * 1000000} + max(a - i * {DAY * 1000000}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start_us FROM x)

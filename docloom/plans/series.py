@@ -12,6 +12,10 @@ from docloom.operators import evaluate, features, graph, signals
 from docloom.sources.tables import table
 
 
+#: Least and most documents of a source type, for the segments that stand in.
+RANGES = {"BUILDING": (0, 100), "MACHINERY": (1, 1_000_000_000), "AUTOMOBILE": (1_000_000_000, 2_000_000_000), "FURNITURE": (5, 1_000_000_000), "none": (40, 50)}
+
+
 def _orders(spark, d):
     return table(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("date"))
 
@@ -48,9 +52,57 @@ def coverage_vs_target(spark, d):
 
 
 def entity_counts(spark, d):
-    """Distinct entities by kind."""
-    l = table(spark, d, "lineitem")
-    return l.agg(F.countDistinct("l_partkey").alias("products"), F.countDistinct("l_suppkey").alias("capabilities"), F.countDistinct("l_returnflag").alias("risk_topics"))
+    """Distinct entities of each type."""
+    kinds = {"Product": "l_partkey", "Technology Capability": "l_suppkey", "Risk Topic": "l_returnflag"}
+    found = F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), F.col(c).cast("string").alias("entity_id")) for k, c in kinds.items())))
+    return graph.entity_counts(table(spark, d, "lineitem").select(found.alias("e")).select("e.*"))
+
+
+def coverage_by_type(spark, d):
+    """Documents of each source type against its own least and most; one type has no document, one no target."""
+    by = _segments(spark, d).groupBy(F.col("c_mktsegment").alias("source_type")).agg(F.count("*").alias("n_docs"))
+    return signals.against_ranges(by, "source_type", "n_docs", RANGES)
+
+
+def ai_coverage(spark, d):
+    """Years from 2020 on, moved by 22, and urgent orders as relevant documents against the target."""
+    year = F.year("at") + 22
+    by = _orders(spark, d).where((F.col("o_orderpriority") == "1-URGENT") & (year >= signals.AI_FROM_YEAR)).groupBy(year.alias("year")).agg(F.count("*").alias("n_docs"))
+    return signals.against_target(by, "n_docs", signals.MIN_AI_DOCS_PER_YEAR)
+
+
+def mentions_quarter(spark, d):
+    """Mentions of every brand in each quarter, and its share of them."""
+    m = _mentions(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    n = m.groupBy(signals.quarter("at").alias("quarter_start"), F.col("p_brand").alias("entity")).agg(F.count("*").alias("n_mentions"))
+    whole = n.groupBy("quarter_start").agg(F.sum("n_mentions").alias("whole"))
+    return n.join(whole, "quarter_start").select("quarter_start", "entity", "n_mentions", F.round(F.col("n_mentions") / F.col("whole"), 9).alias("share"))
+
+
+def event_intensity(spark, d):
+    """Events of each month and type, their weight and mean weight, in whole thousandths."""
+    e = table(spark, d, "events").select("ts", "event_type", F.round(F.col("value") * 1000).cast("bigint").alias("weight"))
+    return signals.intensity(e, "ts", "event_type", "weight").withColumn("intensity", F.round("intensity", 6))
+
+
+def availability_check(spark, d):
+    """Orders that were used in the quarter of a shipment, against the end of that quarter; every seventh date is put too late on purpose."""
+    o = _orders(spark, d).select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.add_months("at", 12)).otherwise(F.col("at")).alias("published_at"))
+    used = table(spark, d, "lineitem").select("l_orderkey", signals.quarter("l_shipdate").alias("quarter_start")).distinct()
+    return features.published_before(used.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "published_at", "quarter_start")
+
+
+def feature_label_join(spark, d):
+    """Features of each quarter with its label; the last quarter has none and goes."""
+    q = _quarters(spark, d).withColumn("quarter_id", F.concat(F.year("quarter_start"), F.lit("Q"), F.quarter("quarter_start")))
+    labels = features.next_period_label(q.select("quarter_id", "quarter_start", "close"), "quarter_start", "close").where("label IS NOT NULL").select("quarter_id", "label")
+    return features.with_labels(q.select("quarter_id", "n_docs"), labels)
+
+
+def z_scores(spark, d):
+    """Documents of each quarter in deviations from the training years."""
+    q = _quarters(spark, d).select("quarter_start", "n_docs")
+    return features.z_score(q, "n_docs", F.year("quarter_start") <= 1997).select("quarter_start", F.round("n_docs_z", 6).alias("n_docs_z"))
 
 
 def quarter_gaps(spark, d):
@@ -73,19 +125,19 @@ def new_mentions_topk(spark, d):
 def term_year_pivot(spark, d):
     """Documents of each priority by year, as columns."""
     o = _orders(spark, d).select(F.col("o_orderpriority").alias("term"), F.year("at").alias("y"))
-    years = sorted({*range(1995, 2002), *(r["y"] for r in o.select("y").where("y IS NOT NULL").distinct().collect())})
+    years = sorted(r["y"] for r in o.select("y").where("y IS NOT NULL").distinct().collect())
     return o.groupBy("term").agg(*(F.count_if(F.col("y") == y).alias(f"y{y}") for y in years), F.min("y").alias("first_year"))
 
 
 def comention(spark, d):
-    """Pairs of part and supplier kinds in the same order, counted by order."""
-    l = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 20).alias("product"), (F.col("l_suppkey") % 10).alias("capability"))
+    """Pairs of part and supplier in the same order, counted by order."""
+    l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("product"), F.col("l_suppkey").alias("capability"))
     return graph.co_mentions(l.select("l_orderkey", "product"), l.select("l_orderkey", "capability"), "l_orderkey", "product", "capability")
 
 
 def associations(spark, d):
     """Undirected edges between the same numbers."""
-    l = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 20).alias("product"), (F.col("l_suppkey") % 10).alias("capability"))
+    l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("product"), F.col("l_suppkey").alias("capability"))
     return graph.associated(l, "product", "capability")
 
 
@@ -214,7 +266,7 @@ QUERIES = {
     for f in (
         coverage_year_source, coverage_cube, coverage_vs_target, entity_counts, quarter_gaps, first_mention, new_mentions_topk, term_year_pivot, comention, associations, top_topics_share,
         quarter_signals, signal_variation, signal_delta, features_lagged, asof_signals, asof_audit, expanding_mean, year_range, labels_next_quarter, leadlag_corr, risk_event_corr, chrono_split, split_check, leakage_violations,
-        features_allowed, train_hash, split_confusion,
+        features_allowed, train_hash, split_confusion, coverage_by_type, ai_coverage, mentions_quarter, event_intensity, availability_check, feature_label_join, z_scores,
     )
 }
 
@@ -229,7 +281,23 @@ ORACLES = {
     "coverage_cube": f"WITH {_S} SELECT CAST(y AS INTEGER) AS year, source_type, count(*) AS n_docs FROM (SELECT year(odate) AS y, source_type FROM s) GROUP BY CUBE (y, source_type)",
     "coverage_vs_target": f"""WITH {_O}, y AS (SELECT CAST(year(odate) AS INTEGER) AS year, count(*) AS n_docs FROM o GROUP BY 1)
         SELECT year, n_docs, 2000 AS target, CASE WHEN n_docs >= 2000 THEN 'met' ELSE 'below' END AS status, greatest(2000 - n_docs, 0) AS missing FROM y""",
-    "entity_counts": "SELECT count(DISTINCT l_partkey) AS products, count(DISTINCT l_suppkey) AS capabilities, count(DISTINCT l_returnflag) AS risk_topics FROM lineitem",
+    "entity_counts": """SELECT 'Product' AS entity_type, count(DISTINCT l_partkey) AS n_entities FROM lineitem UNION ALL SELECT 'Technology Capability', count(DISTINCT l_suppkey) FROM lineitem
+        UNION ALL SELECT 'Risk Topic', count(DISTINCT l_returnflag) FROM lineitem""",
+    "coverage_by_type": f"WITH {_S}, t(source_type, target_min, target_max) AS (VALUES " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in RANGES.items()) + """),
+        n AS (SELECT source_type, count(*) AS n FROM s GROUP BY 1) SELECT source_type, coalesce(n, 0) AS n_docs, target_min, target_max,
+        CASE WHEN target_min IS NULL THEN NULL WHEN coalesce(n, 0) < target_min THEN 'below' WHEN coalesce(n, 0) > target_max THEN 'above' ELSE 'met' END AS status FROM n FULL JOIN t USING (source_type)""",
+    "ai_coverage": f"""WITH {_O}, y AS (SELECT CAST(year(odate) + 22 AS INTEGER) AS year, count(*) AS n_docs FROM o WHERE o_orderpriority = '1-URGENT' AND year(odate) + 22 >= 2020 GROUP BY 1)
+        SELECT year, n_docs, 30 AS target, CASE WHEN n_docs >= 30 THEN 'met' ELSE 'below' END AS status, greatest(30 - n_docs, 0) AS missing FROM y""",
+    "mentions_quarter": f"""WITH {_M}, n AS (SELECT CAST(date_trunc('quarter', odate) AS DATE) AS quarter_start, p_brand AS entity, count(*) AS n_mentions FROM m JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+        SELECT quarter_start, entity, n_mentions, round(n_mentions / sum(n_mentions) OVER (PARTITION BY quarter_start), 9) AS share FROM n""",
+    "event_intensity": """WITH x AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type, CAST(round(value * 1000) AS BIGINT) AS w FROM events)
+        SELECT month, event_type, count(*) AS n_events, CAST(sum(w) AS BIGINT) AS weight, round(avg(w), 6) AS intensity FROM x GROUP BY 1, 2""",
+    "availability_check": f"""WITH {_O}, u AS (SELECT DISTINCT l_orderkey, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter_start FROM lineitem),
+        j AS (SELECT u.quarter_start, CASE WHEN o_orderkey % 7 = 0 THEN CAST(odate + INTERVAL 12 MONTH AS DATE) ELSE odate END AS p FROM u JOIN o ON l_orderkey = o_orderkey)
+        SELECT quarter_start, count(*) AS n_rows, count(*) FILTER (p >= quarter_start + INTERVAL 3 MONTH) AS violations FROM j GROUP BY 1""",
+    "feature_label_join": f"""WITH {_Q}, l AS (SELECT *, lead(close) OVER (ORDER BY quarter_start) AS nxt FROM q)
+        SELECT year(quarter_start) || 'Q' || quarter(quarter_start) AS quarter_id, n_docs, CASE WHEN nxt > close THEN 1 ELSE 0 END AS label FROM l WHERE nxt IS NOT NULL""",
+    "z_scores": f"""WITH {_Q}, t AS (SELECT avg(n_docs) AS m, stddev_samp(n_docs) AS sd FROM q WHERE year(quarter_start) <= 1997) SELECT quarter_start, round((n_docs - m) / sd, 6) AS n_docs_z FROM q, t""",
     "quarter_gaps": f"""WITH {_O}, k AS (SELECT quarter_start FROM o WHERE NOT (year(odate) % 2 = 1 AND quarter(odate) % 2 = 0)),
         g AS (SELECT CAST(unnest(generate_series((SELECT min(quarter_start) FROM k), (SELECT max(quarter_start) FROM k), INTERVAL 3 MONTH)) AS DATE) AS quarter_start)
         SELECT quarter_start FROM g WHERE quarter_start NOT IN (SELECT quarter_start FROM k)""",
@@ -237,9 +305,9 @@ ORACLES = {
     "new_mentions_topk": f"""WITH {_M}, f AS (SELECT l_partkey, min(odate) AS odate FROM m GROUP BY 1) SELECT CAST(date_trunc('quarter', odate) AS DATE) AS quarter_start, count(*) AS n_new FROM f GROUP BY 1
         ORDER BY n_new DESC, quarter_start LIMIT 5""",
     "term_year_pivot": f"WITH {_O} SELECT o_orderpriority AS term, " + ", ".join(f"count(*) FILTER (year(odate) = {y}) AS y{y}" for y in range(1995, 2002)) + ", CAST(min(year(odate)) AS INTEGER) AS first_year FROM o GROUP BY 1",
-    "comention": """WITH a AS (SELECT DISTINCT l_orderkey, l_partkey % 20 AS product FROM lineitem), b AS (SELECT DISTINCT l_orderkey, l_suppkey % 10 AS capability FROM lineitem)
+    "comention": """WITH a AS (SELECT DISTINCT l_orderkey, l_partkey AS product FROM lineitem), b AS (SELECT DISTINCT l_orderkey, l_suppkey AS capability FROM lineitem)
         SELECT product, capability, count(*) AS n_docs FROM a JOIN b USING (l_orderkey) GROUP BY 1, 2""",
-    "associations": "SELECT DISTINCT least(l_partkey % 20, l_suppkey % 10) AS src_id, greatest(l_partkey % 20, l_suppkey % 10) AS dst_id, 'ASSOCIATED_WITH' AS edge_type FROM lineitem",
+    "associations": "SELECT DISTINCT least(l_partkey, l_suppkey) AS src_id, greatest(l_partkey, l_suppkey) AS dst_id, 'ASSOCIATED_WITH' AS edge_type FROM lineitem",
     "top_topics_share": f"""WITH {_M}, t AS (SELECT year(odate) AS year, p_brand AS topic FROM m JOIN part ON l_partkey = p_partkey),
         top AS (SELECT topic FROM t GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 10), c AS (SELECT year, topic, count(*) AS n FROM t GROUP BY 1, 2),
         w AS (SELECT *, sum(n) OVER (PARTITION BY year) AS whole FROM c) SELECT CAST(year AS INTEGER) AS year, topic, n, round(n / whole, 9) AS share FROM w WHERE topic IN (SELECT topic FROM top)""",

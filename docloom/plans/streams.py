@@ -14,7 +14,11 @@ from docloom.streaming import jobs
 
 def _folder(spark) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='docloom-')}/stream-{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="docloom-")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream_dedup(spark, d):
@@ -26,7 +30,17 @@ def stream_dedup(spark, d):
 def stream_daily(spark, d):
     """Requests of each user and day, over a cap of three or not."""
     daily = jobs.daily(jobs.events(spark, f"{d}/events.parquet"), "user_id", "ts", cap=3)
-    return jobs.run_to_table(daily, f"daily_{uuid.uuid4().hex}", "complete", f"{_folder(spark)}/checkpoint")
+    where = _folder(spark)
+    return jobs.run_to_files(daily, f"{where}/out", f"{where}/checkpoint")
+
+
+def stream_cache(spark, d):
+    """Requests of each host, and how many a cache of one day answered; users stand in for hosts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    where = _folder(spark)
+    log = jobs.events(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("host"), F.col("event_id").cast("string").alias("body"), "ts")
+    done = jobs.run_to_parquet(jobs.cached(log, 86400, "ts", "60 days"), f"{where}/out", f"{where}/checkpoint")
+    return done.groupBy("host").agg(F.count("*").alias("n_requests"), F.sum(F.col("hit").cast("bigint")).alias("n_hits"))
 
 
 def model_lr(spark, d):
@@ -40,8 +54,12 @@ def model_lr(spark, d):
     return spark.createDataFrame([(n, round(c, 6)) for n, c in model.coefficients(fitted, names)], "feature string, coefficient double")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_daily, model_lr)}
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_daily, stream_cache, model_lr)}
 ORACLES = {
     "stream_dedup": "SELECT DISTINCT user_id FROM events",
+    "stream_cache": """WITH RECURSIVE f(user_id, fetched) AS (SELECT user_id, min(ts) FROM events GROUP BY 1
+        UNION ALL SELECT f.user_id, min(e.ts) FROM f JOIN events e ON e.user_id = f.user_id AND e.ts >= f.fetched + INTERVAL 1 DAY GROUP BY f.user_id),
+        n AS (SELECT user_id, count(*) AS n FROM f GROUP BY 1)
+        SELECT CAST(user_id AS VARCHAR) AS host, count(*) AS n_requests, CAST(count(*) - any_value(n) AS BIGINT) AS n_hits FROM events JOIN n USING (user_id) GROUP BY user_id""",
     "stream_daily": "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) > 3 AS over_cap FROM events GROUP BY 1, 2",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions.urls import extract_domain
-from docloom.operators import evaluate, graph
+from docloom.operators import evaluate, graph, signals
 from docloom.sources.tables import table
 
 LEXICON = {"alpha": ("the", "der"), "beta": ("of the", "in the"), "gamma": ("de la", "und"), "delta": ("les",)}
@@ -34,24 +34,23 @@ def sentences(spark, d):
 
 
 def sentence_context(spark, d):
-    """Number of characters in each sentence and up to two sentences on both sides."""
+    """Each sentence with up to two sentences on both sides: their digest, characters and number."""
     from pyspark.sql import Window
 
     s = T.sentences(_docs(spark, d))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-2, 2)
-    return s.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.sum(F.length("sentence")).over(w).alias("context_chars"), F.count("*").over(w).alias("n_sentences"))
+    return s.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.sha2(F.array_join(F.collect_list("sentence").over(w), " "), 256).alias("context_sha256"), F.sum(F.length("sentence")).over(w).alias("context_chars"), F.count("*").over(w).alias("n_sentences"))
 
 
 def lexicon_flags(spark, d):
     """Documents with each entity of the lexicon."""
-    out = _docs(spark, d).select("doc_id", *(T.has_phrase("text", a).alias(e) for e, a in LEXICON.items()))
-    return out.select("doc_id", *LEXICON)
+    return _docs(spark, d).select("doc_id", T.flags("text", LEXICON).alias("f")).select("doc_id", *(F.coalesce(f"f.{e}", F.lit(False)).alias(e) for e in LEXICON))
 
 
 def doc_flag_counts(spark, d):
     """Sentences, and those with an entity, by document."""
-    s = T.sentences(_docs(spark, d)).select("doc_id", *(T.has_phrase("sentence", a).cast("bigint").alias(e) for e, a in LEXICON.items()))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), *(F.sum(e).alias(e) for e in LEXICON))
+    n = _docs(spark, d).select("doc_id", T.sentence_counts("text", LEXICON).alias("n")).select("doc_id", "n.*").where("n_sentences > 0")
+    return n.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_sentences", *LEXICON)))
 
 
 def section_flags(spark, d):
@@ -119,6 +118,63 @@ def lang_intensity(spark, d):
     return x.groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.round(F.avg(F.col("f").cast("double")), 9).alias("intensity"))
 
 
+def _dated():
+    """Stands in for the date of a document."""
+    return F.date_add(F.lit("2015-01-01").cast("date"), (F.col("doc_id") % 4000).cast("int"))
+
+
+def ai_intensity_quarter(spark, d):
+    """Sentences of each quarter and the share of them with a phrase."""
+    n = _docs(spark, d).select(signals.quarter(_dated()).alias("quarter_start"), T.sentence_counts("text", {"hits": LEXICON["beta"]}).alias("n")).select("quarter_start", "n.*")
+    by = n.groupBy("quarter_start").agg(F.sum("n_sentences").alias("n_sentences"), F.sum("hits").alias("hits"))
+    return by.withColumn("intensity", F.round(F.try_divide(F.col("hits").cast("double"), F.col("n_sentences").cast("double")), 9))
+
+
+def entity_types(spark, d):
+    """Distinct entities of each type that the documents mention."""
+    return graph.entity_counts(graph.mentions(T.sentences(_docs(spark, d)), _lexicon(spark)))
+
+
+def evidence_spans(spark, d):
+    """Offsets and excerpts of every "the " in every document."""
+    e = _docs(spark, d).select("doc_id", F.posexplode(T.evidence_all("text", "the ")).alias("k", "e"))
+    return e.select("doc_id", F.col("k").cast("bigint").alias("k"), F.col("e.start").cast("bigint").alias("start"), F.col("e.stop").cast("bigint").alias("stop"), F.col("e.excerpt").alias("excerpt"))
+
+
+def alias_canonical(spark, d):
+    """Brands under the names of an alias map."""
+    aliases = spark.createDataFrame([(" BRAND  11 ", "first"), ("brand#12", "second"), ("Brand-12", "second")], "alias string, entity string")
+    return graph.canonical(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", aliases).select("p_partkey", "entity")
+
+
+def corpus_criteria(spark, d):
+    """The criteria that each document fails: sources stand in for authority, a phrase for relevance."""
+    public, relevant = ~T.paywalled("text"), T.has_phrase("text", LEXICON["alpha"])
+    dated = F.when(F.col("doc_id") % 13 != 0, _dated())
+    reasons = T.quality_reasons(public, F.col("source").isin("src1", "src2", "src3", "src4", "src5"), "text", dated, relevant)
+    return _docs(spark, d).select("doc_id", F.array_join(reasons, ",").alias("reasons"))
+
+
+def gold_sentences(spark, d):
+    """Sentences that one phrase list predicts against those that another one calls right, by document and sentence."""
+    s = T.sentences(_docs(spark, d)).select("doc_id", "sentence_id", T.flags("sentence", {"p": LEXICON["alpha"], "g": LEXICON["beta"]}).alias("f"))
+    m = evaluate.against_gold(s.where("f.p"), s.where("f.g"), ["doc_id", "sentence_id"])
+    return m.withColumns({"precision": F.round("precision", 9), "coverage": F.round("coverage", 9)})
+
+
+def precision_report(spark, d):
+    """The lines of the precision report of the length rule by language."""
+    g = _gold(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id")
+    return evaluate.precision_report(g, "lang", F.col("predicted"), F.col("quality") == 1)
+
+
+def stratified_periods(spark, d):
+    """Two documents of each source, period and length."""
+    period = F.when(F.year(_dated()) <= 2017, "early").when(F.year(_dated()) <= 2020, "middle").otherwise("recent")
+    length = F.when(F.length("text") < 500, "short").when(F.length("text") < 2000, "medium").otherwise("long")
+    return evaluate.stratified(_docs(spark, d).select("doc_id", "source", period.alias("period"), length.alias("length")), ["source", "period", "length"], "doc_id", 2)
+
+
 def media_share(spark, d):
     """Share of the mentions that come from media sources, here src1 to src4."""
     x = _docs(spark, d).select(T.has_phrase("text", LEXICON["alpha"]).alias("f"), F.col("source").isin("src1", "src2", "src3", "src4").alias("media"))
@@ -196,6 +252,7 @@ QUERIES = {
     for f in (
         sentences, sentence_context, lexicon_flags, doc_flag_counts, section_flags, false_positives, label_classes, evidence_span, html_text, doc_classify, publish_dates, kg_edges, co_mention_entities, lang_intensity,
         media_share, quality_filters, paywalls, gold_precision, confusion, calibration, stratified_sample, audit_sample, gold_union, auc_ranksum, baselines, bootstrap_accuracy,
+        ai_intensity_quarter, entity_types, evidence_spans, alias_canonical, corpus_criteria, gold_sentences, precision_report, stratified_periods,
     )
 }
 
@@ -215,7 +272,7 @@ for _p, _to in T.HTML_STEPS:
 _BUCKET = "CAST('0x' || left(md5(CAST({0} AS VARCHAR)), 8) AS BIGINT) % 100"
 ORACLES = {
     "sentences": f"WITH {_SENT} SELECT doc_id, pos, sentence_id, length(sentence) AS n_chars FROM s",
-    "sentence_context": f"""WITH {_SENT} SELECT doc_id, pos, CAST(sum(length(sentence)) OVER w AS BIGINT) AS context_chars, count(*) OVER w AS n_sentences FROM s
+    "sentence_context": f"""WITH {_SENT} SELECT doc_id, pos, sha256(string_agg(sentence, ' ') OVER w) AS context_sha256, CAST(sum(length(sentence)) OVER w AS BIGINT) AS context_chars, count(*) OVER w AS n_sentences FROM s
         WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
     "lexicon_flags": "SELECT doc_id, " + ", ".join(f"{_has('text', a)} AS {e}" for e, a in LEXICON.items()) + " FROM documents",
     "doc_flag_counts": f"WITH {_SENT} SELECT doc_id, count(*) AS n_sentences, " + ", ".join(f"count(*) FILTER ({_has('sentence', a)}) AS {e}" for e, a in LEXICON.items()) + " FROM s GROUP BY doc_id",
@@ -257,5 +314,23 @@ ORACLES = {
     "baselines": f"""WITH {_GOLD}, c AS (SELECT CAST(count(*) FILTER (predicted AND quality = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (predicted AND quality = 0) AS DOUBLE) AS fp,
         CAST(count(*) FILTER (NOT predicted AND quality = 1) AS DOUBLE) AS fn, CAST(count(*) FILTER (NOT predicted AND quality = 0) AS DOUBLE) AS tn FROM g)
         SELECT round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS balanced_accuracy, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall,
-        round(greatest(tp + fn, tn + fp) / (tp + fp + fn + tn), 9) AS majority, CAST(0.5 AS DOUBLE) AS chance FROM c""",
+        round(greatest(tp + fn, tn + fp) / (tp + fp + fn + tn), 9) AS majority, CAST(0.5 AS DOUBLE) AS chance, round((tp + fn) / (tp + fp + fn + tn), 9) AS buy_and_hold FROM c""",
+    "ai_intensity_quarter": f"""WITH {_SENT}, x AS (SELECT CAST(date_trunc('quarter', DATE '2015-01-01' + CAST(doc_id % 4000 AS INTEGER)) AS DATE) AS quarter_start, {_has('sentence', LEXICON['beta'])} AS f FROM s)
+        SELECT quarter_start, count(*) AS n_sentences, count(*) FILTER (f) AS hits, round(count(*) FILTER (f) / count(*), 9) AS intensity FROM x GROUP BY 1""",
+    "entity_types": f"WITH {_MENTION} SELECT entity_type, count(DISTINCT entity_id) AS n_entities FROM m GROUP BY 1",
+    "evidence_spans": """WITH x AS (SELECT doc_id, text, string_split(text, 'the ') AS p FROM documents), y AS (SELECT doc_id, text, p, unnest(generate_series(0, len(p) - 2)) AS k FROM x),
+        z AS (SELECT doc_id, text, k, CAST(list_sum(list_transform(p[1:k + 1], lambda s: length(s))) AS BIGINT) + 4 * k AS start FROM y)
+        SELECT doc_id, k, start, start + 4 AS stop, substr(text, greatest(start - 19, 1), start + 1 - greatest(start - 19, 1) + 24) AS excerpt FROM z""",
+    "alias_canonical": "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'first' WHEN p_brand = 'Brand#12' THEN 'second' ELSE p_brand END AS entity FROM part",
+    "corpus_criteria": f"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), 'subscribe to (read|continue)|subscribers only|sign in to continue') THEN 'not_public' END,
+        CASE WHEN source NOT IN ('src1', 'src2', 'src3', 'src4', 'src5') THEN 'not_authoritative' END, CASE WHEN length(trim(text)) < 200 THEN 'not_readable' END,
+        CASE WHEN doc_id % 13 = 0 THEN 'undated' END, CASE WHEN NOT {_has('text', LEXICON['alpha'])} THEN 'not_relevant' END) AS reasons FROM documents""",
+    "gold_sentences": f"""WITH {_SENT}, f AS (SELECT DISTINCT doc_id, sentence_id, {_has('sentence', LEXICON['alpha'])} AS p, {_has('sentence', LEXICON['beta'])} AS g FROM s),
+        c AS (SELECT count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (NOT p AND g) AS fn FROM f)
+        SELECT tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS coverage FROM c""",
+    "precision_report": f"""WITH {_GOLD}, c AS (SELECT lang, count(*) FILTER (predicted AND quality = 1) AS tp, count(*) FILTER (predicted AND quality <> 1) AS fp FROM g JOIN documents USING (doc_id) GROUP BY 1)
+        SELECT concat('| ', lang, ' | ', tp, ' | ', fp, ' | ', format('{{:.4f}}', tp / (tp + fp)), ' | ', CASE WHEN tp / (tp + fp) >= 0.8 THEN 'met' ELSE 'below' END, ' |') AS value FROM c""",
+    "stratified_periods": """WITH x AS (SELECT doc_id, source, year(DATE '2015-01-01' + CAST(doc_id % 4000 AS INTEGER)) AS y, length(text) AS n FROM documents),
+        k AS (SELECT doc_id, source, CASE WHEN y <= 2017 THEN 'early' WHEN y <= 2020 THEN 'middle' ELSE 'recent' END AS period, CASE WHEN n < 500 THEN 'short' WHEN n < 2000 THEN 'medium' ELSE 'long' END AS length FROM x)
+        SELECT doc_id, source, period, length FROM (SELECT *, row_number() OVER (PARTITION BY source, period, length ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS i FROM k) WHERE i <= 2""",
 }

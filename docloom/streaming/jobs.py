@@ -66,28 +66,45 @@ class RateState(StatefulProcessor):
 
 
 class FreshValue(StatefulProcessor):
-    """The last value of a key while it is fresh: state expires after the time to live (processing time)."""
+    """The last value of a key while it is fresh, by the time of the rows; a timer drops it once the watermark has passed its end."""
 
     def __init__(self, seconds: int = crawl.ROBOTS_TTL):
-        self.seconds = seconds
+        self.micros = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("value", "body string", ttlDurationMs=self.seconds * 1000)
+        self.handle = handle
+        self.state = handle.getValueState("value", "body string, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for row in pd.concat(list(rows)).itertuples():
-            hit = self.state.exists()
-            if not hit:
-                self.state.update((row.body,))
-            yield pd.DataFrame({"host": [key[0]], "body": [self.state.get()[0]], "hit": [hit]})
+        log = pd.concat(list(rows)).sort_values("at_us", kind="stable")
+        body, until = self.state.get() if self.state.exists() else (None, None)
+        bodies, hits = [], []
+        for at, fetched in zip(log["at_us"].tolist(), log["body"].tolist()):
+            hits.append(until is not None and at < until)
+            if not hits[-1]:
+                body, until = fetched, at + self.micros
+            bodies.append(body)
+        self.state.update((body, until))
+        self.handle.registerTimer(until // 1000 + 1)
+        yield pd.DataFrame({"host": key[0], "at_us": log["at_us"].to_numpy(), "body": bodies, "hit": hits})
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[1] // 1000 < expired.getExpiryTimeInMs():
+            self.state.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def cached(stream: DataFrame, seconds: int = crawl.ROBOTS_TTL) -> DataFrame:
-    """(host, body) answered from a cache with a time to live; ``hit`` tells which answers were cached."""
-    return stream.groupBy("host").transformWithStateInPandas(FreshValue(seconds), "host string, body string, hit boolean", "Append", "ProcessingTime")
+def cached(stream: DataFrame, seconds: int = crawl.ROBOTS_TTL, at: str | None = None, delay: str = "1 day") -> DataFrame:
+    """(host, body) answered from a cache with a time to live; ``hit`` tells which answers were cached.
+
+    ``at`` is the time of a request, by default that of its batch.  Event time and a watermark bound the state, and let a
+    run over what is there come to its end.
+    """
+    timed = stream.withColumn("__at", F.col(at) if at else F.current_timestamp()).withColumn("at_us", F.unix_micros("__at")).withWatermark("__at", delay)
+    return timed.groupBy("host").transformWithStateInPandas(FreshValue(seconds), "host string, at_us long, body string, hit boolean", "Append", "EventTime")
 
 
 def rate_state(stream: DataFrame, start: float = crawl.DEFAULT_DELAY) -> DataFrame:
@@ -104,6 +121,16 @@ def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str | None
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there, once; the whole result replaces a Parquet folder after each batch, without passing through the driver."""
+
+    def write(result: DataFrame, batch: int) -> None:
+        result.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process what is there, once, into a Parquet folder; exactly once across restarts with the same checkpoint."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

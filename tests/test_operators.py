@@ -1,4 +1,9 @@
 import datetime as dt
+import gzip
+import http.server
+import json
+import threading
+import time
 import urllib.robotparser
 
 import pytest
@@ -200,3 +205,126 @@ def test_pivot_has_all_years_of_the_table(spark, small, tmp_path):
     orders.withColumn("o_orderdate", (F.col("o_orderdate") + F.expr("INTERVAL 5 YEARS")).cast(orders.schema["o_orderdate"].dataType)).write.parquet(f"{tmp_path}/orders.parquet")
     rows = series.term_year_pivot(spark, str(tmp_path)).collect()
     assert sum(v for r in rows for k, v in r.asDict().items() if k.startswith("y")) == orders.count()
+
+
+class Site(http.server.BaseHTTPRequestHandler):
+    """Pages with the headers that were sent, a robots file, and a redirect to it."""
+
+    def do_GET(self):
+        if self.path == "/gone/robots.txt":
+            return self.send_error(404)
+        if self.path == "/moved/robots.txt":
+            self.send_response(302)
+            self.send_header("Location", "/robots.txt")
+            return self.end_headers()
+        body = b"User-agent: *\nDisallow: /b\nCrawl-delay: 2\n" if self.path == "/robots.txt" else json.dumps(dict(self.headers)).encode()
+        body = gzip.compress(body)
+        self.send_response(200)
+        self.send_header("Content-Type", "text/html")
+        self.send_header("Content-Encoding", "gzip")
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def site():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_robots_files_and_session(spark, site):
+    hosts = spark.createDataFrame([(site,), (f"{site}/moved",), (f"{site}/gone",), ("127.0.0.1:9",), (None,), (site,)], "host string")
+    files = fetch.robots_files(hosts, scheme="http").cache()
+    got = {r.host: (r.status, r.body.startswith("User-agent")) for r in files.collect()}
+    assert got == {site: (200, True), f"{site}/moved": (200, True), f"{site}/gone": (404, False), "127.0.0.1:9": (None, False)}
+    urls = spark.createDataFrame([(f"http://{site}/{p}",) for p in "abc"], "url string")
+    plan = crawl.plan(urls, spark.createDataFrame([(site, 4.0)], "domain string, requests_per_second double"), crawl.parse_robots(files), files.select("host", "status"))
+    assert {r.url[-1]: (r.allowed, r.rate) for r in plan.collect()} == {"a": (True, 0.5), "b": (False, 0.5), "c": (True, 0.5)}
+    began = time.time()
+    done = {r.url[-1]: r for r in fetch.session(plan, headers=fetch.session_headers("loom/2", "me@example.org"), retries=0).collect()}
+    assert set(done) == {"a", "c"} and all(r.status == 200 and r.mime == "text/html" for r in done.values())
+    sent = json.loads(done["a"].body)
+    assert sent["User-Agent"] == "loom/2" and sent["From"] == "me@example.org" and "gzip" in sent["Accept-Encoding"]
+    assert time.time() - began >= 2  # two requests at one in two seconds
+
+
+def test_headers():
+    assert fetch.merged({"Accept": "a", "X": "1"}, {"accept": "b"}) == {"accept": "b", "X": "1"}
+    assert "From" not in fetch.robots_headers() and fetch.filing_headers("a/1", "m@x")["User-Agent"] == "a/1 (m@x)"
+
+
+def test_retry_calls_back():
+    seen = []
+    assert fetch.with_retry(lambda: 1 / 0, 2, on_retry=lambda k, e: seen.append((k, type(e))), wait=lambda s: None).attempts == 3
+    assert seen == [(0, ZeroDivisionError), (1, ZeroDivisionError)]
+
+
+def test_public_names():
+    import docloom
+
+    assert len(docloom.__all__) > 40 and all(callable(getattr(docloom, n)) or n.isupper() for n in docloom.__all__)
+    with pytest.raises(AttributeError):
+        docloom.nothing
+
+
+def test_command_line(spark, tmp_path, small):
+    page = spark.read.parquet(f"{small}/pages.parquet").orderBy("page_id").first().url
+    for name, header in seeds.HEADERS.items():
+        row = ",".join(page if c == "url" else "2020" if c == "fiscal_year" else "" for c in header.split(","))
+        (tmp_path / f"{name}.csv").write_text(header + "\n" + row + "\n")
+    pipeline.main(["ingest", small, str(tmp_path / "out"), "--seeds", str(tmp_path), "--since", "2019", "--limit", "3"])
+    assert spark.read.parquet(str(tmp_path / "out/queue")).count() == 3
+    assert [r.url for r in spark.read.parquet(str(tmp_path / "out/ingest")).collect()] == [page]
+
+
+def test_long_and_short_lexicons_agree(spark, monkeypatch):
+    s = spark.createDataFrame([(1, "a", "The DATA breach, the bias."), (1, "b", None), (2, "c", "biased data"), (2, "d", "")], "doc_id int, sentence_id string, sentence string")
+    lex = spark.createDataFrame([("e", "T", "data breach"), ("f", "T", "bias"), ("g", "U", "Data  Breach!"), ("h", "U", " ")], "entity_id string, entity_type string, alias string")
+    names = ["doc_id", "sentence_id", "sentence", "entity_id", "entity_type", "gram"]
+    short = sorted(map(tuple, graph.mentions(s, lex).select(names).collect()))
+    monkeypatch.setattr(graph, "FEW_ALIASES", 1)
+    assert short == sorted(map(tuple, graph.mentions(s, lex).select(names).collect())) and len(short) == 3
+    assert graph.mentions(s, lex.limit(0)).count() == 0
+
+
+def test_cache_forgets(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("a", "x", 0), ("a", "y", 59), ("a", "z", 60), ("b", "u", 10), ("a", "w", 119)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, "host string, body string, s int").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("host string, body string, s int, ts timestamp").parquet(path)
+    out = jobs.run_to_parquet(jobs.cached(stream, 60, "ts"), str(tmp_path / "o"), str(tmp_path / "c")).collect()
+    assert sorted((r.host, r.at_us // 1_000_000 - 1_000_000, r.body, r.hit) for r in out) == [("a", 0, "x", False), ("a", 59, "x", True), ("a", 60, "z", False), ("a", 119, "z", True), ("b", 10, "u", False)]
+
+
+def test_small_helpers(spark):
+    one = spark.range(1)
+    assert 0.9 <= one.select(crawl.with_jitter(F.lit(1.0))).first()[0] <= 1.1 and one.select(crawl.min_delay(F.lit(0.25))).first()[0] == 4.0
+    assert features.one_hot(spark.createDataFrame([("x",), ("y",)], "k string"), "k", ["x"]).orderBy("k").select("k_x").collect()[0][0] == 1
+    assert one.select(documents.storage_name(F.lit(b"a"), F.lit("application/pdf"))).first()[0].endswith(".pdf")
+    assert dedup.arrival(spark.createDataFrame([("a", 2), ("a", 1)], "k string, t int"), "k", "t").count() > 0
+    with pytest.raises(Exception, match="labelled twice"):
+        features.with_labels(spark.createDataFrame([("q",)], "quarter_id string"), spark.createDataFrame([("q", 1), ("q", 0)], "quarter_id string, label int")).collect()
+
+
+def test_auc_with_many_scores(spark):
+    rows = [(i * 7919 % 1000 / 10, int(i * 31 % 97 > 40)) for i in range(3000)]
+    want = sum((a > b) + (a == b) / 2 for a, x in rows if x for b, y in rows if not y) / (sum(x for _, x in rows) * sum(1 - x for _, x in rows))
+    df = spark.createDataFrame(rows, "s double, y int")
+    assert abs(evaluate.auc(df, "s", "y", 7).first()[0] - want) < 1e-12
+    assert evaluate.auc(df.limit(0), "s", "y").first()[0] is None
+
+
+def test_yaml_settings_and_logger(tmp_path, capsys):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("ingestion:\n  start_year: 2011\nlogging:\n  level: debug\n")
+    s = config.Settings.read(tmp_path / "c.yaml", env={})
+    assert s["ingestion.start_year"] == 2011
+    log = config.logger("docloom.test", s)
+    log.debug("hello")
+    assert "| DEBUG    | docloom.test | hello" in capsys.readouterr().err and config.logger("docloom.test", s).handlers[1:] == []
