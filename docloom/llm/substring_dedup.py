@@ -2,20 +2,22 @@
 
 1. Texts are cut into chunks of whole documents and written once, to a table in the shared folder that is bucketed by
    chunk: every later pass sees the same chunks, and joining them with their answers moves no text.
-2. Sketch pass: every window of ``WINDOW`` words is hashed.  Tasks count the windows of a few million words in ``ROWS``
-   count-min rows with counters that stop at two, and send the touched cells, sorted and delta-coded (about a byte for
-   each window and row).  Cells are merged block by block.  Merged, a cell says "twice or more".
+2. Sketch pass: every window of ``WINDOW`` words is hashed.  Each chunk sends the cells that its windows touch in ``ROWS``
+   count-min rows, sorted and delta-coded (about a byte for each window and row), with a flag for "twice in this chunk".
+   Rows have eight cells or more for each window of the corpus, however large it is; they are cut into blocks of ``BLOCK``
+   cells, which are merged where they meet.  A merged block answers every chunk with one bit for each cell that it sent:
+   "twice or more".  So the sketch is nowhere in one place, and its error does not grow with the corpus.
 3. Second pass: only windows whose cells all say so can be repeated; the sketch overestimates, so none is lost.  Their
    128-bit fingerprints go to buckets, each chunk sending a fingerprint once with a flag for "twice in this chunk", so that
    a passage that a third of all documents share adds one row a chunk.  Buckets find the fingerprints that occur twice
    and answer with one bit for each.
 4. Answers meet their chunks again and the covered words are removed.
 
-The merged sketch is sized by the corpus, eight bits a window, up to ``MAX_BITS`` (128 MB), and broadcast.  Beyond that
-it lets more windows through, which costs shuffle but no result.  Windows that are equal by 128 bits count as equal.
+Windows that are equal by 128 bits count as equal.
 
 Defined results: null and blank texts have no words; texts with fewer words than a window lose nothing; repeated rows are
-copies of each other; a null id is kept; an empty table gives no rows.
+copies of each other; ids of any type and null ones are kept; a very long text makes a chunk of its own; other columns are
+dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
 WINDOW, ROWS = 35, 2
-MAX_BITS = 1 << 30
 CHUNK = 3_000_000
-#: Cells that are merged together, and windows that a task sketches before it sends cells.
-BLOCK, FLUSH = 1 << 22, 4_000_000
+#: Cells of a sketch row for each window at least, and cells that are merged together.
+CELLS, BLOCK = 8, 1 << 24
+LEAST_BITS = 16
 PER_BUCKET = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -86,107 +89,99 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().cumsum(dtype=np.int64)
 
 
-def _sketch(chunks: DataFrame, size: int, bits: int) -> DataFrame:
-    """(sketch_row, block, cells seen, cells seen twice) of each task's windows."""
-    low = min(bits, BLOCK.bit_length() - 1)
-    schema = pa.schema([("sketch_row", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate(held)
-        for row in range(ROWS):
-            cells = np.sort(_cells(h, row, bits))
-            new = np.concatenate(([True], cells[1:] != cells[:-1]))
-            again = np.unique(cells[~new])
-            cells = cells[new]
-            for block in range(1 << (bits - low)):
-                edge = np.array([block << low, (block + 1) << low], np.uint64)
-                a, b = np.searchsorted(cells, edge)
-                if a < b:
-                    c, d = np.searchsorted(again, edge)
-                    yield pa.RecordBatch.from_pylist([{"sketch_row": row, "block": block, "once": _pack((cells[a:b] - edge[0]).astype(np.int64)), "twice": _pack((again[c:d] - edge[0]).astype(np.int64))}], schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for texts in batch.column("texts"):
-                h = _windows(texts.as_py(), size, False)[2]
-                held.append(h)
-                n += len(h)
-                if n >= FLUSH:
-                    yield from flush(held)
-                    held, n = [], 0
-        if n:
-            yield from flush(held)
-
-    return chunks.mapInArrow(run, "sketch_row int, block int, once binary, twice binary")
-
-
-def _merge(cells: DataFrame, bits: int) -> DataFrame:
-    """(sketch_row, block, bits of the cells that were seen twice or more); a block is merged as a stream."""
-    many = 1 << min(bits, BLOCK.bit_length() - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (row, block), rows in common.grouped(batches, ["sketch_row", "block"]):
-            once, twice = np.zeros(many, bool), np.zeros(many, bool)
-            for r in rows:
-                new = _unpack(r["once"])
-                twice[new[once[new]]] = True
-                once[new] = True
-                twice[_unpack(r["twice"])] = True
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()])], ["sketch_row", "block", "bits"])
-
-    keys = ["sketch_row", "block"]
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "sketch_row int, block int, bits binary")
+def _runs(groups: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, start, end) of each run of equal values."""
+    if not len(groups):
+        return []
+    edges = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))).tolist()
+    return list(zip(groups[edges].tolist(), edges, [*edges[1:], len(groups)], strict=True))
 
 
-def _suspects(texts: list[bytes], size: int, bits: int, sketch: bytes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+def _asked_cells(chunk: int, h: np.ndarray, bits: int, low: int) -> list[dict]:
+    """What a chunk with these window hashes sends to the sketch's blocks of 2 ** low cells, which are numbered through all rows."""
+    out = []
+    for row in range(ROWS):
+        cells = np.sort(_cells(h, row, bits))
+        new = np.concatenate((np.ones(min(1, len(cells)), bool), cells[1:] != cells[:-1]))
+        at = np.flatnonzero(new)
+        twice = np.diff(at, append=len(cells)) > 1
+        cells = cells[at].astype(np.int64) + (row << bits)
+        out += [{"block": b, "chunk": chunk, "cells": _pack(cells[x:y] - (b << low)), "twice": np.packbits(twice[x:y]).tobytes()} for b, x, y in _runs(cells >> low)]
+    return out
+
+
+def _answered_cells(rows: list[dict], low: int) -> list[bytes]:
+    """For each chunk's cells of a block, one bit: whether the merged cell was seen twice or more."""
+    once, twice = np.zeros(1 << low, bool), np.zeros(1 << low, bool)
+    cells = [_unpack(r["cells"]) for r in rows]
+    for r, c in zip(rows, cells, strict=True):
+        twice[c[once[c] | np.unpackbits(np.frombuffer(r["twice"], np.uint8))[: len(c)].astype(bool)]] = True
+        once[c] = True
+    return [np.packbits(twice[c]).tobytes() for c in cells]
+
+
+def _suspects(texts: list[bytes], size: int, bits: int, low: int, answers: list[dict]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words, positions of the windows that the sketch takes for repeated, and their fingerprints."""
     words, at, h, g = _windows(texts, size, True)
-    table = np.frombuffer(sketch, np.uint8)
     good = np.ones(len(at), bool)
+    said = {a["block"]: np.unpackbits(np.frombuffer(a["bits"], np.uint8)) for a in answers}
     for row in range(ROWS):
-        cell = _cells(h, row, bits).astype(np.int64) + (row << bits)
-        good &= (table[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+        cells, place = np.unique(_cells(h, row, bits), return_inverse=True)
+        blocks = (cells.astype(np.int64) + (row << bits)) >> low
+        if len(cells):
+            good &= np.concatenate([said[b][: y - x] for b, x, y in _runs(blocks)]).astype(bool)[place]
     keys = np.empty(int(good.sum()), [("h", np.uint64), ("g", np.uint64)])
     keys["h"], keys["g"] = h[good], g[good]
     return words, at[good], keys
 
 
-def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts in ascending fingerprints: buckets are ranges of the first half."""
-    return np.searchsorted(keys["h"], np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(keys)]
+def _buckets(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) in ascending fingerprints: buckets are ranges of the first half."""
+    return _runs(((keys["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """Id, n_words, n_removed and the kept words, joined by one blank, of every row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    kind = rows.schema["id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for k, batch in enumerate(common.slices(batches, "text", CHUNK)):
-            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([common.column_bytes(batch, "text")], pa.list_(pa.binary()))], ["chunk", "ids", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(to_arrow_type(kind))), pa.array([common.column_bytes(batch, "text")], pa.list_(pa.binary()))], ["chunk", "ids", "texts"])
 
     total = rows.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = common.bucketed(rows.mapInArrow(cut, "chunk bigint, ids array<bigint>, texts array<binary>"), "chunk", common.bucket_count(total))
-    n = total // 6  # words have some six bytes with the blank behind them; the sketch gets four cells a row for each
-    bits = min(max(16, int(4 * n).bit_length()), (MAX_BITS // ROWS).bit_length() - 1)
-    merged = bytearray((ROWS << bits) // 8)
-    for r in _merge(_sketch(chunks, size, bits), bits).toLocalIterator():  # MAX_BITS / 8 bytes at most
-        width = len(r["bits"])
-        place = (r["sketch_row"] << bits) // 8 + r["block"] * width
-        merged[place : place + width] = r["bits"]
-    sketch = spark.sparkContext.broadcast(bytes(merged))
-    del merged
+    n_tables = common.bucket_count(total)
+    chunks = common.bucketed(rows.mapInArrow(cut, f"chunk bigint, ids array<{kind.simpleString()}>, texts array<binary>"), "chunk", n_tables)
+    n = total // 6  # words have some six bytes with the blank behind them
+    bits = max(LEAST_BITS, int(CELLS * n).bit_length())
+    low = min(bits, BLOCK.bit_length() - 1)
     buckets = max(1, n // PER_BUCKET)
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("cells", pa.binary()), ("twice", pa.binary())])
+        for batch in batches:
+            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+                out = _asked_cells(chunk, _windows(texts.as_py(), size, False)[2], bits, low)
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block,), held in common.grouped(batches, ["block"]):
+            some = list(held)
+            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in some], pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(_answered_cells(some, low), pa.binary())], ["chunk", "block", "bits"])
+
+    cells = chunks.select("chunk", "texts").mapInArrow(sketch, "block bigint, chunk bigint, cells binary, twice binary")
+    merged = cells.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "chunk bigint, block bigint, bits binary")
+    said = common.bucketed(merged.groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("cells")), "chunk", n_tables)
+    sketched = chunks.join(said, "chunk", "left")
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
         for batch in batches:
-            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
-                keys, counts = np.unique(_suspects(texts.as_py(), size, bits, sketch.value)[2], return_counts=True)
-                edges = _bucket_edges(keys, buckets)
-                out = [{"bucket": b, "chunk": chunk, "keys": keys[x:y].tobytes(), "twice": np.packbits(counts[x:y] > 1).tobytes()} for b, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
+            for chunk, texts, answers in zip(batch.column("chunk").to_pylist(), batch.column("texts"), batch.column("cells"), strict=True):
+                keys, counts = np.unique(_suspects(texts.as_py(), size, bits, low, answers.as_py() or [])[2], return_counts=True)
+                out = [{"bucket": b, "chunk": chunk, "keys": keys[x:y].tobytes(), "twice": np.packbits(counts[x:y] > 1).tobytes()} for b, x, y in _buckets(keys, buckets)]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -207,20 +202,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
             masks = [np.packbits(twice[e - len(k) : e]).tobytes() for k, e in zip(keys, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([bucket] * len(chunk), pa.int32()), pa.array(masks, pa.binary())], ["chunk", "bucket", "mask"])
 
-    asked = chunks.mapInArrow(ask, "bucket int, chunk bigint, keys binary, twice binary")
+    asked = sketched.select("chunk", "texts", "cells").mapInArrow(ask, "bucket int, chunk bigint, keys binary, twice binary")
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk bigint, bucket int, mask binary")
     by_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "mask"))).alias("masks"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, column, masks in zip(batch.column("ids"), batch.column("texts"), batch.column("masks"), strict=True):
+            for ids, column, answers, masks in zip(batch.column("ids"), batch.column("texts"), batch.column("cells"), batch.column("masks"), strict=True):
                 texts = column.as_py()
-                words, at, found = _suspects(texts, size, bits, sketch.value)
+                words, at, found = _suspects(texts, size, bits, low, answers.as_py() or [])
                 keys, inverse = np.unique(found, return_inverse=True)
-                edges = _bucket_edges(keys, buckets)
+                edges = {b: (x, y) for b, x, y in _buckets(keys, buckets)}
                 repeated = np.zeros(len(keys), bool)
                 for m in masks.as_py() or ():
-                    x, y = edges[m["bucket"]], edges[m["bucket"] + 1]
+                    x, y = edges[m["bucket"]]
                     repeated[x:y] = np.unpackbits(np.frombuffer(m["mask"], np.uint8))[: y - x].astype(bool)
                 total = sum(map(len, words))
                 cover = np.zeros(total + 1, np.int64)
@@ -235,9 +230,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
                     k = int(g.sum())
                     removed.append(k)
                     kept.append(b" ".join(ws if not k else [w for w, x in zip(ws, g.tolist(), strict=True) if not x]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(list(map(len, words)), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), to_arrow_type(kind)), pa.array(list(map(len, words)), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    return chunks.join(by_chunk, "chunk", "left").select("ids", "texts", "masks").mapInArrow(remove, "id bigint, n_words bigint, n_removed bigint, kept string")
+    return sketched.join(by_chunk, "chunk", "left").select("ids", "texts", "cells", "masks").mapInArrow(remove, f"id {kind.simpleString()}, n_words bigint, n_removed bigint, kept string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

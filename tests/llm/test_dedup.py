@@ -43,13 +43,50 @@ def test_substrings_against_brute_force(spark):
 
 
 def test_sketch_may_overflow(spark, monkeypatch):
-    monkeypatch.setattr(s, "MAX_BITS", 1 << 10)  # nearly every cell is hit: the second pass alone decides
+    monkeypatch.setattr(s, "CELLS", 0)
+    monkeypatch.setattr(s, "LEAST_BITS", 9)  # nearly every cell is hit: the second pass alone decides
     monkeypatch.setattr(s, "PER_BUCKET", 500)
     texts = corpus()
     got = {r.id: r.kept for r in s.dedup(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [x[2] for x in removed(texts)]
 
 
+def test_sketch_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK", 1 << 9)
+    monkeypatch.setattr(s, "CHUNK", 3000)
+    texts = corpus()
+    frame = docs(spark, texts).selectExpr("concat('d', doc_id) AS doc_id", "text")
+    got = {r.id: r.kept for r in s.dedup(frame.repartition(3)).collect()}
+    assert [got[f"d{i}"] for i in range(len(texts))] == [x[2] for x in removed(texts)]
+
+
+def test_sketch_lets_few_single_windows_pass():
+    """At its load, eight cells a window and row, about one of seventy windows that occur once passes, at any size."""
+    rng = np.random.default_rng(1)
+    for n in (50_000, 400_000):
+        bits, low = int(s.CELLS * n).bit_length(), 15
+        h = rng.integers(0, 2**63, n, np.uint64) * np.uint64(2)
+        parts = np.array_split(h, 5)
+        asked = {}
+        for k, part in enumerate(parts):
+            for r in s._asked_cells(k, part, bits, low):
+                asked.setdefault(r["block"], []).append(r)
+        said = {}
+        for block, rows in asked.items():
+            for r, x in zip(rows, s._answered_cells(rows, low)):
+                said.setdefault(r["chunk"], []).append({"block": block, "bits": x})
+        passed = 0
+        for k, part in enumerate(parts):
+            good = np.ones(len(part), bool)
+            at = {a["block"]: np.unpackbits(np.frombuffer(a["bits"], np.uint8)) for a in said[k]}
+            for row in range(s.ROWS):
+                cells, place = np.unique(s._cells(part, row, bits), return_inverse=True)
+                blocks = (cells.astype(np.int64) + (row << bits)) >> low
+                good &= np.concatenate([at[b][: y - x] for b, x, y in s._runs(blocks)]).astype(bool)[place]
+            passed += int(good.sum())
+        assert passed / n < 0.02
+
+
 def test_substring_edge_cases(spark):
     assert s.dedup(docs(spark, corpus()).limit(0)).count() == 0
     one = spark.createDataFrame([(None, "a " * 40), (5, None)], "doc_id long, text string")
