@@ -4,7 +4,8 @@ A template is any function from a list of ``(role, text)`` turns to one string.
 it marks turns: the prefixes of a conversation are rendered one turn longer each time and successive outputs
 are compared.  While a template only appends, the text that prefix *k* adds is the span of turn *k*.  A template
 that changes what it has already written is detected: ``rewrites`` counts the turns whose output does not start
-with the output before, and the spans are then taken behind the longest common prefix.
+with the output before.  Spans of prefixes would then be wrong in the whole, so each turn is probed in the rendering of
+the whole conversation: its span, and that of its loss, is where its body stands there, empty if it was dropped.
 
 The loss mask covers the body of each assistant turn: rendering the turn once more with two different probe
 bodies shows where the template puts the body, again without knowing the template.
@@ -64,22 +65,33 @@ def _changed(a: str, b: str) -> tuple[int, int]:
     return head, tail
 
 
+def _located(turns: Turns, template: Template, whole: str) -> list[tuple[int, int]]:
+    """Where the body of each turn stands in the rendering of the whole conversation."""
+    out = []
+    for k, (role, _) in enumerate(turns):
+        a, b = (template([*turns[:k], (role, probe), *turns[k + 1 :]]) for probe in "ab")
+        head, tail = _changed(a, b)
+        out.append((head, max(head, len(whole) - tail)) if a != b else (len(whole), len(whole)))
+    return out
+
+
 def render(turns: Turns, template: Template = default_template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], int]:
     """Formatted text, span of each turn, span of each assistant body, and the number of rewritten prefixes."""
     before, spans, loss, rewrites = template([]), [], [], 0
     for k, (role, text) in enumerate(turns):
         now = template(turns[: k + 1])
-        start = len(before)
-        if not now.startswith(before):
-            rewrites += 1
-            start = len(os.path.commonprefix((before, now)))
-        spans.append((start, len(now)))
-        if role == "assistant":
-            # Two probes that differ in every character bound the body from both sides.
+        rewrites += not now.startswith(before)
+        spans.append((len(before), len(now)))
+        if role == "assistant" and not rewrites:
+            # Two probes that differ in every character bound the body from both sides; what stood before needs no comparison.
             a, b = template([*turns[:k], (role, "a")]), template([*turns[:k], (role, "b")])
-            head, tail = _changed(a, b)
-            loss.append((head, len(now) - tail))
+            same = len(before) if a.startswith(before) and b.startswith(before) else 0
+            head, tail = _changed(a[same:], b[same:])
+            loss.append((same + head, len(now) - tail))
         before = now
+    if rewrites:
+        spans = _located(turns, template, before)
+        loss = [span for span, (role, _) in zip(spans, turns, strict=True) if role == "assistant"]
     return before, spans, loss, rewrites
 
 

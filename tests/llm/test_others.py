@@ -21,6 +21,30 @@ def test_templates_are_black_boxes():
     assert [out[a:b] for a, b in mask] == ["bb"] and again == 1  # the mark that closed the empty conversation is gone
 
 
+def test_spans_hold_after_a_rewrite():
+    """Templates that drop earlier answers, number turns from the end, or close what was open: spans are those of the whole text."""
+    turns = [("user", "u1"), ("assistant", "first"), ("user", "u2"), ("assistant", "second"), ("user", "u3")]
+
+    def forgetful(ts):
+        last = max((i for i, (r, _) in enumerate(ts) if r == "assistant"), default=-1)
+        return "".join(f"<{r}>{t if r != 'assistant' or i == last else ''}</{r}>" for i, (r, t) in enumerate(ts))
+
+    text, spans, loss, rewrites = ch.render(turns, forgetful)
+    assert rewrites == 1 and [text[a:b] for a, b in spans] == ["u1", "", "u2", "second", "u3"] and [text[a:b] for a, b in loss] == ["", "second"]
+    backwards = lambda ts: "".join(f"[{len(ts) - i}]{t}" for i, (_, t) in enumerate(ts))
+    text, spans, loss, rewrites = ch.render(turns, backwards)
+    assert rewrites == 4 and [text[a:b] for a, b in spans] == [t for _, t in turns] and [text[a:b] for a, b in loss] == ["first", "second"]
+
+
+def test_long_conversations_are_rendered_in_time():
+    import time
+
+    turns = [("user" if k % 2 else "assistant", "word # < " * 120) for k in range(400)]
+    began = time.process_time()
+    text, _, loss, _ = ch.render(turns)
+    assert [ch.unescape(text[a:b]) for a, b in loss] == [t for r, t in turns if r == "assistant"] and time.process_time() - began < 120
+
+
 def test_chat_frames(spark):
     rows = [(1, 1, None, None, "x"), (1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (None, 0, "a:b", "t", "x"), (2, None, "assistant", "l" * 100_000, "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
