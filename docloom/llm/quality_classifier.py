@@ -8,7 +8,8 @@ broadcast; scoring is one pass over the texts without a shuffle.
 
 Defined results: null and blank texts have zero statistics and are scored like any other; without labels of both kinds
 the score is the smoothed share of label 1; a document with several labels is learned with each of them; repeated
-documents are scored one by one; columns of the documents are kept, one named ``score`` is replaced.
+documents are scored one by one; a null id is not held out and has no label; very long texts are read whole; an empty table
+gives no rows; columns of the documents are kept, one named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ def score(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; rows whose crc32 leaves 2 modulo 4 are held out of training."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").where(~held_out)
     scored = score(docs, train(docs, labels))
