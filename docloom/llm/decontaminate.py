@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-#: Characters of items in one automaton; it takes some 30 bytes a character at most.
-MAX_CHARS = 4_000_000
+#: Characters of items in one automaton; it takes some 95 bytes a character, so 190 MB of a worker at most.
+MAX_CHARS = 2_000_000
 OUT = "n_words bigint, n_hit bigint, spans array<struct<start:int,stop:int>>, items array<string>"
 
 #: Lower-cases A-Z and makes a blank of every ASCII character that is not a letter or digit.
