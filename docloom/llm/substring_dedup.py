@@ -13,6 +13,10 @@
    and answer with one bit for each.
 4. Answers meet their chunks again and the covered words are removed.
 
+Neither what a chunk sends nor what a block or bucket holds grows with the corpus.  Chunks are dealt to groups of about
+``GROUP``; above one group, a chunk sends whole ranges of blocks, as many as a single group needs, to its own group, which
+merges them, so that a window in every chunk is one entry a group, asks the blocks of a range and passes their bits on.
+
 Windows that are equal by 128 bits count as equal.
 
 Defined results: null and blank texts have no words; texts with fewer words than a window lose nothing; repeated rows are
@@ -22,7 +26,7 @@ dropped; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ CHUNK = 3_000_000
 CELLS, BLOCK = 8, 1 << 24
 LEAST_BITS = 16
 PER_BUCKET = 1_000_000
+#: Chunks whose cells and fingerprints are merged before they meet those of other chunks.
+GROUP = 16_384
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -80,13 +86,19 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (h if not row else _mix(h + np.uint64(row))) >> np.uint64(64 - bits)
 
 
-def _pack(sorted_cells: np.ndarray) -> bytes:
-    """Delta-coded 32-bit integers in four byte planes, of which the upper ones are mostly zero."""
-    return np.diff(sorted_cells, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _pack(sorted_cells: np.ndarray, low: int = 32) -> bytes:
+    """Delta-coded integers of ``low`` bits in four byte planes, eight above 32 bits, of which the upper ones are mostly zero."""
+    wide = np.uint64 if low > 32 else np.uint32
+    return np.diff(sorted_cells, prepend=0).astype(wide).view(np.uint8).reshape(-1, wide().itemsize).T.tobytes()
+
+
+def _unpack(data: bytes, low: int = 32) -> np.ndarray:
+    wide = np.uint64 if low > 32 else np.uint32
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide().itemsize, -1).T).view(wide).ravel().cumsum(dtype=np.int64)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().cumsum(dtype=np.int64)
+def _flags(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8))[:n].astype(bool)
 
 
 def _runs(groups: np.ndarray) -> list[tuple[int, int, int]]:
@@ -106,7 +118,7 @@ def _asked_cells(chunk: int, h: np.ndarray, bits: int, low: int) -> list[dict]:
         at = np.flatnonzero(new)
         twice = np.diff(at, append=len(cells)) > 1
         cells = cells[at].astype(np.int64) + (row << bits)
-        out += [{"block": b, "chunk": chunk, "cells": _pack(cells[x:y] - (b << low)), "twice": np.packbits(twice[x:y]).tobytes()} for b, x, y in _runs(cells >> low)]
+        out += [{"block": b, "chunk": chunk, "cells": _pack(cells[x:y] - (b << low), low), "twice": np.packbits(twice[x:y]).tobytes()} for b, x, y in _runs(cells >> low)]
     return out
 
 
@@ -130,14 +142,68 @@ def _suspects(texts: list[bytes], size: int, bits: int, low: int, answers: list[
         blocks = (cells.astype(np.int64) + (row << bits)) >> low
         if len(cells):
             good &= np.concatenate([said[b][: y - x] for b, x, y in _runs(blocks)]).astype(bool)[place]
-    keys = np.empty(int(good.sum()), [("h", np.uint64), ("g", np.uint64)])
+    keys = np.empty(int(good.sum()), _KEY)
     keys["h"], keys["g"] = h[good], g[good]
     return words, at[good], keys
 
 
-def _buckets(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, start, end) in ascending fingerprints: buckets are ranges of the first half."""
-    return _runs(((keys["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+def _buckets(keys: np.ndarray, buckets: int, shift: int = 0) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) in ascending fingerprints: buckets are ranges of the first half; those of 2 ** shift buckets, if given."""
+    return _runs(((keys["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) >> shift)
+
+
+_KEY = [("h", np.uint64), ("g", np.uint64)]
+_ASKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
+_ASKED_DDL = "bucket bigint, chunk bigint, keys binary, twice binary"
+
+
+def _together(keys: list[np.ndarray], flags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, whether each was seen twice, and where each of the given ones lies among them."""
+    every = np.concatenate(keys)
+    order = np.lexsort((every["g"], every["h"])) if every.dtype.names else np.argsort(every, kind="stable")
+    s = every[order]
+    place = np.empty(len(s), np.int64)
+    new = np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1]))
+    place[order] = np.cumsum(new) - 1
+    twice = np.bincount(place, minlength=int(new.sum())) > 1
+    twice[place[np.concatenate(flags)]] = True
+    return s[new], twice, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _relayed(asked: DataFrame, groups: int, tables: int, load: Callable, split: Callable, answered: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The answers to ``asked``, whose buckets are ranges, by way of groups of chunks.
+
+    A group holds what its chunks sent of a range, each key once, asks the range's buckets in its own name and deals their bits
+    to its chunks.  ``load`` turns sent bytes into keys, ``split`` a range's keys into rows for its buckets.
+    """
+    at = F.col("bucket") * groups + F.pmod(F.xxhash64("chunk"), F.lit(groups))
+    held = common.bucketed(asked.groupBy(at.alias("at")).agg(F.collect_list(F.struct("chunk", "keys", "twice")).alias("parts")), "at", tables)
+
+    def merged(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        keys = [load(p["keys"]) for p in row["parts"]]
+        return _together(keys, [_flags(p["twice"], len(k)) for p, k in zip(row["parts"], keys, strict=True)])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from batch.slice(k, 1).to_pylist()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows(batches):
+            keys, twice, _ = merged(row)
+            out = [{"bucket": b, "chunk": row["at"], "keys": k, "twice": np.packbits(twice[x:y]).tobytes()} for b, x, y, k in split(row["at"] // groups, keys)]
+            yield pa.RecordBatch.from_pylist(out, _ASKED)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows(batches):
+            keys, _, places = merged(row)
+            runs = split(row["at"] // groups, keys)
+            bits = np.concatenate([_flags(a["bits"], y - x) for a, (_, x, y, _) in zip(row["answers"], runs, strict=True)])
+            chunk = [p["chunk"] for p in row["parts"]]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([row["at"] // groups] * len(chunk), pa.int64()), pa.array([np.packbits(bits[p]).tobytes() for p in places], pa.binary())], ["chunk", "bucket", "bits"])
+
+    back = answered(held.mapInArrow(ask, _ASKED_DDL)).groupBy(F.col("chunk").alias("at")).agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
+    return held.join(back, "at").mapInArrow(deal, "chunk bigint, bucket bigint, bits binary")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -157,62 +223,74 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     bits = max(LEAST_BITS, int(CELLS * n).bit_length())
     low = min(bits, BLOCK.bit_length() - 1)
     buckets = max(1, n // PER_BUCKET)
+    shift = max(0, -(-chunks.count() // GROUP) - 1).bit_length()  # of the number of groups, a power of two
+    high = min(bits, low + shift)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("cells", pa.binary()), ("twice", pa.binary())])
         for batch in batches:
             for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
-                out = _asked_cells(chunk, _windows(texts.as_py(), size, False)[2], bits, low)
+                out = _asked_cells(chunk, _windows(texts.as_py(), size, False)[2], bits, high)
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                    yield pa.RecordBatch.from_pylist([{"bucket": r["block"], "chunk": chunk, "keys": r["cells"], "twice": r["twice"]} for r in out], _ASKED)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (block,), held in common.grouped(batches, ["block"]):
-            some = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in some], pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(_answered_cells(some, low), pa.binary())], ["chunk", "block", "bits"])
+        for (block,), held in common.grouped(batches, ["bucket"]):
+            some = [r | {"cells": r["keys"]} for r in held]
+            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in some], pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(_answered_cells(some, low), pa.binary())], ["chunk", "bucket", "bits"])
+
+    def blocks(span: int, cells: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+        first = span << high - low
+        return [(first + b, x, y, _pack(cells[x:y] - (b << low))) for b, x, y in _runs(cells >> low)]
 
-    cells = chunks.select("chunk", "texts").mapInArrow(sketch, "block bigint, chunk bigint, cells binary, twice binary")
-    merged = cells.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "chunk bigint, block bigint, bits binary")
-    said = common.bucketed(merged.groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("cells")), "chunk", n_tables)
+    def by_bucket(asked: DataFrame, answer: Callable) -> DataFrame:
+        return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk bigint, bucket bigint, bits binary")
+
+    def answers(asked: DataFrame, answer: Callable, load: Callable, split: Callable) -> DataFrame:
+        if not shift:
+            return by_bucket(asked, answer)
+        return _relayed(asked, 1 << shift, n_tables, load, split, lambda rows: by_bucket(rows, answer))
+
+    cells = chunks.select("chunk", "texts").mapInArrow(sketch, _ASKED_DDL)
+    merged = answers(cells, merge, lambda data: _unpack(data, high), blocks)
+    said = common.bucketed(merged.groupBy("chunk").agg(F.collect_list(F.struct(F.col("bucket").alias("block"), "bits")).alias("cells")), "chunk", n_tables)
     sketched = chunks.join(said, "chunk", "left")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
         for batch in batches:
-            for chunk, texts, answers in zip(batch.column("chunk").to_pylist(), batch.column("texts"), batch.column("cells"), strict=True):
-                keys, counts = np.unique(_suspects(texts.as_py(), size, bits, low, answers.as_py() or [])[2], return_counts=True)
-                out = [{"bucket": b, "chunk": chunk, "keys": keys[x:y].tobytes(), "twice": np.packbits(counts[x:y] > 1).tobytes()} for b, x, y in _buckets(keys, buckets)]
+            for chunk, texts, said_cells in zip(batch.column("chunk").to_pylist(), batch.column("texts"), batch.column("cells"), strict=True):
+                keys, counts = np.unique(_suspects(texts.as_py(), size, bits, high, said_cells.as_py() or [])[2], return_counts=True)
+                out = [{"bucket": b, "chunk": chunk, "keys": keys[x:y].tobytes(), "twice": np.packbits(counts[x:y] > 1).tobytes()} for b, x, y in _buckets(keys, buckets, shift)]
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                    yield pa.RecordBatch.from_pylist(out, _ASKED)
+
+    def fingerprints(data: bytes) -> np.ndarray:
+        return np.frombuffer(data, _KEY)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in common.grouped(batches, ["bucket"]):
             chunk, keys, flags = [], [], []
             for r in rows:
                 chunk.append(r["chunk"])
-                keys.append(np.frombuffer(r["keys"], [("h", np.uint64), ("g", np.uint64)]))
-                flags.append(np.unpackbits(np.frombuffer(r["twice"], np.uint8))[: len(keys[-1])].astype(bool))
-            every, twice = np.concatenate(keys), np.concatenate(flags)
-            order = np.lexsort((every["g"], every["h"]))
-            s = every[order]
-            same = (s["h"][1:] == s["h"][:-1]) & (s["g"][1:] == s["g"][:-1])
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            ends = np.cumsum([len(k) for k in keys]).tolist()
-            masks = [np.packbits(twice[e - len(k) : e]).tobytes() for k, e in zip(keys, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([bucket] * len(chunk), pa.int32()), pa.array(masks, pa.binary())], ["chunk", "bucket", "mask"])
-
-    asked = sketched.select("chunk", "texts", "cells").mapInArrow(ask, "bucket int, chunk bigint, keys binary, twice binary")
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk bigint, bucket int, mask binary")
-    by_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "mask"))).alias("masks"))
+                keys.append(fingerprints(r["keys"]))
+                flags.append(_flags(r["twice"], len(keys[-1])))
+            _, twice, places = _together(keys, flags)
+            masks = [np.packbits(twice[p]).tobytes() for p in places]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([bucket] * len(chunk), pa.int64()), pa.array(masks, pa.binary())], ["chunk", "bucket", "bits"])
+
+    def ranges(span: int, keys: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+        return [(b, x, y, keys[x:y].tobytes()) for b, x, y in _buckets(keys, buckets)]
+
+    asked = sketched.select("chunk", "texts", "cells").mapInArrow(ask, _ASKED_DDL)
+    found = answers(asked, answer, fingerprints, ranges)
+    by_chunk = found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", F.col("bits").alias("mask")))).alias("masks"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, column, answers, masks in zip(batch.column("ids"), batch.column("texts"), batch.column("cells"), batch.column("masks"), strict=True):
+            for ids, column, cells, masks in zip(batch.column("ids"), batch.column("texts"), batch.column("cells"), batch.column("masks"), strict=True):
                 texts = column.as_py()
-                words, at, found = _suspects(texts, size, bits, low, answers.as_py() or [])
+                words, at, found = _suspects(texts, size, bits, high, cells.as_py() or [])
                 keys, inverse = np.unique(found, return_inverse=True)
-                edges = {b: (x, y) for b, x, y in _buckets(keys, buckets)}
+                edges = {b: (x, y) for b, x, y in _buckets(keys, buckets, shift)}
                 repeated = np.zeros(len(keys), bool)
                 for m in masks.as_py() or ():
                     x, y = edges[m["bucket"]]

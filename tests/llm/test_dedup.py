@@ -60,6 +60,46 @@ def test_sketch_in_many_blocks(spark, monkeypatch):
     assert [got[f"d{i}"] for i in range(len(texts))] == [x[2] for x in removed(texts)]
 
 
+def test_chunks_meet_in_groups(spark, monkeypatch):
+    """Groups of two chunks, ranges of blocks and of buckets; then no range is smaller than a row."""
+    monkeypatch.setattr(s, "CHUNK", 3000)
+    monkeypatch.setattr(s, "GROUP", 2)
+    monkeypatch.setattr(s, "PER_BUCKET", 500)
+    texts = corpus()
+    for block in (1 << 7, 1 << 24):
+        monkeypatch.setattr(s, "BLOCK", block)
+        got = {r.id: r.kept for r in s.dedup(docs(spark, texts).repartition(3)).collect()}
+        assert [got[i] for i in range(len(texts))] == [x[2] for x in removed(texts)]
+
+
+def test_wide_ranges_are_packed():
+    cells = np.sort(np.random.default_rng(0).integers(0, 1 << 40, 1000))
+    assert (s._unpack(s._pack(cells, 40), 40) == cells).all()
+
+
+def test_work_grows_with_the_input(monkeypatch):
+    """What a chunk sends and a bucket holds at most stays the same from a certain size on, whatever the corpus; one window is in every chunk."""
+    monkeypatch.setattr(s, "GROUP", 16)
+    rng, sizes = np.random.default_rng(1), []
+    for n_chunks in (64, 256):
+        hashes = [np.concatenate(([np.uint64(12345) << np.uint64(40)], rng.integers(0, 2**63, 400, np.uint64) * np.uint64(2))) for _ in range(n_chunks)]
+        bits, low, shift = int(s.CELLS * 400 * n_chunks).bit_length(), 12, (n_chunks // s.GROUP - 1).bit_length()
+        high, held = low + shift, {}
+        sent = [s._asked_cells(k, h, bits, high) for k, h in enumerate(hashes)]
+        for k, rows in enumerate(sent):
+            for r in rows:
+                held.setdefault((r["block"], k >> 4), []).append((s._unpack(r["cells"], high), s._flags(r["twice"], len(s._unpack(r["cells"], high)))))
+        blocks = {}
+        for (span, g), parts in held.items():
+            keys, twice, places = s._together(*map(list, zip(*parts)))
+            assert all((keys[p] == k).all() for p, (k, _) in zip(places, parts))
+            for b, x, y in s._runs(keys >> low):
+                blocks.setdefault((span << shift) + b, []).append(y - x)
+        sizes.append((max(map(len, sent)), max(len(p) for p in held.values()), max(map(sum, blocks.values())) / (1 << low)))
+        assert max(map(len, blocks.values())) <= 1 << shift
+    assert sizes[1][0] <= sizes[0][0] and sizes[1][1] <= sizes[0][1] == s.GROUP and sizes[1][2] < 1.3 * sizes[0][2]
+
+
 def test_sketch_lets_few_single_windows_pass():
     """At its load, eight cells a window and row, about one of seventy windows that occur once passes, at any size."""
     rng = np.random.default_rng(1)
