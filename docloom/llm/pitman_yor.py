@@ -19,7 +19,9 @@ of a hash range, which add up all chunks and answer with numbers; then their dis
 where each pair lies once, with its count and its tables.  A hot word or pair is one entry a chunk, however often it occurs;
 the dishes of a hot restaurant are dealt to several buckets.  Rounds work on those buckets alone, not on chunks: they
 ask the word buckets for the parent's tables and keep the seating in a table between rounds.  At last they answer each
-chunk with the logarithms of its pairs.  The driver keeps totals only.  Random numbers come from the bucket and the round,
+chunk with the logarithms of its pairs.  Neither what a chunk sends nor what a bucket holds grows with the corpus: askers
+are dealt to groups of about ``GROUP``, and above one group each sends ranges of buckets, as many as a single group needs,
+to its own group, which adds them up, asks the buckets of a range and passes the answers on.  The driver keeps totals only.  Random numbers come from the bucket and the round,
 so a repeated task changes nothing.
 
 Defined results: a null text is empty and has the end token alone; a null id is not held out; ids of any type are kept; very
@@ -48,6 +50,8 @@ START, END = 0, 1  # hashes of the context before a text and of the token after
 CHUNK = 4_000_000
 SUMS = 6
 WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 2_000_000, 2_000_000
+#: Askers whose words and pairs are added up before they meet those of others.
+GROUP = 16_384
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 #: Sweeps of each round, of which the last round's are averaged, and groups of dishes.
 SWEEPS, COLOURS = (2, 2, 4), 3
@@ -117,13 +121,13 @@ class Chunk:
         self.u, self.w = pairs // max(1, words), pairs % max(1, words)
         self.pair_count = np.bincount(self.pair[self.train], minlength=len(pairs))
 
-    def dealt(self, ids: np.ndarray, total: np.ndarray, buckets: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of each pair, and the pairs by bucket: whole restaurants, but hot ones in parts of about so many customers."""
+    def dealt(self, ids: np.ndarray, total: np.ndarray, buckets: int, part: int, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket of each pair, and the pairs by ranges of 2 ** shift buckets: whole restaurants, but hot ones in parts of about so many customers."""
         parts = 1 + total[self.u] // part
         with np.errstate(over="ignore"):
             dish = _mix(ids[self.w] + np.uint64(0x632BE59BD9B4E019)) % parts.astype(np.uint64)
             bucket = (_mix(_mix(ids[self.u]) ^ dish) % np.uint64(buckets)).astype(np.int64)
-        return bucket, np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        return bucket, np.argsort((bucket >> shift).astype(np.uint16) if buckets >> shift < 1 << 16 else bucket >> shift, kind="stable")
 
 
 def _train_counts(train: list[bool], n: np.ndarray, words: int, place: np.ndarray) -> np.ndarray:
@@ -193,6 +197,123 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(k, 1).to_pylist()
 
 
+def _shift(askers: int) -> int:
+    """Two to its power is the number of groups of so many askers."""
+    return max(0, -(-askers // GROUP) - 1).bit_length()
+
+
+def _held(asked: DataFrame, asker: str, shift: int, buckets: int) -> DataFrame:
+    """What the askers of a group sent to a range of buckets, a row each: ``at``, the range and the group in one number, and ``parts``."""
+    at = F.shiftleft(F.col("bucket"), shift) + F.pmod(F.xxhash64(asker), F.lit(1 << shift))
+    return common.bucketed(asked.groupBy(at.alias("at")).agg(F.collect_list(F.struct(*(c for c in asked.columns if c != "bucket"))).alias("parts")), "at", buckets)
+
+
+def _answered_in_groups(asked: DataFrame, answer: Callable, asker: str, buckets: int, shift: int, add: Callable, split: Callable) -> tuple[DataFrame, list[int]]:
+    """:func:`_answered`, by way of 2 ** shift groups of askers, whose buckets are ranges.
+
+    ``add`` turns what a group's askers sent into rows for the buckets; ``split`` turns their answers into a payload for each asker.
+    """
+    if not shift:
+        return _answered(asked, answer, asker, buckets)
+    held = _held(asked, asker, shift, buckets)
+    schema = pa.schema([(c, pa.int64() if c in ("bucket", asker) else pa.binary()) for c in asked.columns])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            yield pa.RecordBatch.from_pylist([r | {asker: row["at"]} for r in add(row["parts"])], schema)
+
+    table, sums = _answered(held.mapInArrow(ask, asked.schema), answer, asker, buckets)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            first, n = row["at"] >> shift << shift, len(row["parts"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[asker] for p in row["parts"]], pa.int64()), pa.array([first] * n, pa.int64()), pa.array(split(first, row["parts"], row["answers"], sums), pa.binary())], [asker, "from", "payload"])
+
+    dealt = held.join(table.withColumnRenamed(asker, "at"), "at").mapInArrow(deal, f"{asker} bigint, from bigint, payload binary")
+    out = common.bucketed(dealt.groupBy(asker).agg(F.sort_array(F.collect_list(F.struct("from", "payload"))).alias("answers")), asker, buckets)
+    common.dropped(held)
+    common.dropped(table)
+    return out, sums
+
+
+def _unique(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, and the places of the given ones among them."""
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def _word_rows(keys: np.ndarray, count: np.ndarray, buckets: int, shift: int = 0) -> list[dict]:
+    """Words and their counts for buckets, or for ranges of 2 ** shift buckets."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) >> shift
+    return [{"bucket": b, "keys": pack(_steps(keys[x:y])), "count": pack(count[x:y])} for b, x, y in _runs(bucket)]
+
+
+def _added_words(buckets: int) -> Callable[[list[dict]], list[dict]]:
+    def add(parts: list[dict]) -> list[dict]:
+        keys, places = _unique([_ascending(p["keys"]) for p in parts])
+        return _word_rows(keys, _sum(np.concatenate(places), np.concatenate([unpack(p["count"]) for p in parts]), len(keys)), buckets)
+
+    return add
+
+
+def _split_words(first: int, parts: list[dict], answers: list[dict], sums: list[int]) -> list[bytes]:
+    """Numbers of words from that of the range's first bucket on, and counts."""
+    low = sums[-1]
+    told = [_split(a["payload"]) for a in answers]
+    ids = np.concatenate([_ascending(t[0]) + np.uint64(a["from"] - first << low) for a, t in zip(answers, told, strict=True)])
+    total = np.concatenate([unpack(t[1]) for t in told])
+    return [_joined(_steps(ids[p]), total[p]) for p in _unique([_ascending(p["keys"]) for p in parts])[1]]
+
+
+def _parent_rows(dishes: np.ndarray, dish_tables: np.ndarray, contexts: np.ndarray, customers: np.ndarray, tables: np.ndarray, low: int) -> list[dict]:
+    """What the word buckets are told: tables by dish; customers and tables of split restaurants."""
+    out: dict[int, dict] = {}
+    empty = pack(np.zeros(0))
+    for b, x, y in _runs((dishes >> np.uint64(low)).astype(np.int64)):
+        out[b] = {"bucket": b, "dishes": pack(_steps(dishes[x:y])), "dish_tables": pack(dish_tables[x:y]), "contexts": empty, "context_customers": empty, "context_tables": empty}
+    for b, x, y in _runs((contexts >> np.uint64(low)).astype(np.int64)):
+        row = out.setdefault(b, {"bucket": b, "dishes": empty, "dish_tables": empty})
+        row |= {"contexts": pack(_steps(contexts[x:y])), "context_customers": pack(customers[x:y]), "context_tables": pack(tables[x:y])}
+    return [out[b] for b in sorted(out)]
+
+
+def _added_parent(low: int) -> Callable[[list[dict]], list[dict]]:
+    def add(parts: list[dict]) -> list[dict]:
+        def added(name: str, *values: str) -> list[np.ndarray]:
+            keys, places = _unique([_ascending(p[name]) for p in parts])
+            return [keys, *(_sum(np.concatenate(places), np.concatenate([unpack(p[v]) for p in parts]), len(keys)) for v in values)]
+
+        return _parent_rows(*added("dishes", "dish_tables"), *added("contexts", "context_customers", "context_tables"), low)
+
+    return add
+
+
+def _split_parent(first: int, parts: list[dict], answers: list[dict], sums: list[int]) -> list[bytes]:
+    told = [np.concatenate([unpack(x) for x in part]) for part in zip(*(_split(a["payload"]) for a in answers), strict=True)]
+    dishes, contexts = (_unique([_ascending(p[name]) for p in parts])[1] for name in ("dishes", "contexts"))
+    return [_joined(told[0][d], told[1][d], told[2][c], told[3][c]) for d, c in zip(dishes, contexts, strict=True)]
+
+
+def _added_pairs(parts: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Bucket within the range, context, dish, count and mark of each pair that a group's askers sent, in order, and the places of theirs."""
+    some = [unpack(p["count"]) for p in parts]
+    bucket, u, w = (np.concatenate([f(p[c]) for p in parts]) for c, f in (("sub", unpack), ("u", _ascending), ("w", unpack)))
+    split = np.concatenate([np.unpackbits(np.frombuffer(p["split"], np.uint8))[: len(c)] for p, c in zip(parts, some, strict=True)])
+    order = np.lexsort((w, u, bucket))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for x in (bucket, u, w):
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    at = order[new]
+    return [bucket[at], u[at], w[at], _sum(place, np.concatenate(some), len(at)), split[at]], np.split(place, np.cumsum([len(c) for c in some])[:-1])
+
+
 def _chunk(row: dict, low: int) -> tuple[Chunk, np.ndarray, np.ndarray]:
     """A chunk with the numbers of its words and their counts in all training texts."""
     parts = [_split(a["payload"]) for a in row["answers"]]
@@ -314,17 +435,9 @@ class Restaurants:
         self.held = _sum(self.u, self.tables, len(self.ids))
 
     def asks(self, low: int) -> list[dict]:
-        """What the word buckets are told: tables by dish; customers and tables of split restaurants."""
-        out: dict[int, dict] = {}
-        dish, empty = _sum(self.w, self.tables, len(self.dish_ids)), pack(np.zeros(0))
-        for b, x, y in _runs((self.dish_ids >> np.uint64(low)).astype(np.int64)):
-            out[b] = {"bucket": b, "dishes": pack(_steps(self.dish_ids[x:y])), "dish_tables": pack(dish[x:y]), "contexts": empty, "context_customers": empty, "context_tables": empty}
-        ids, customers, tables = self.ids[self.split], _sum(self.u, self.count, len(self.ids)), _sum(self.u, self.tables, len(self.ids))
-        for b, x, y in _runs((ids >> np.uint64(low)).astype(np.int64)):
-            at = self.split[x:y]
-            row = out.setdefault(b, {"bucket": b, "dishes": empty, "dish_tables": empty})
-            row |= {"contexts": pack(_steps(ids[x:y])), "context_customers": pack(customers[at]), "context_tables": pack(tables[at])}
-        return [out[b] for b in sorted(out)]
+        """What word buckets of 2 ** low places are told."""
+        customers, tables = _sum(self.u, self.count, len(self.ids)), _sum(self.u, self.tables, len(self.ids))
+        return _parent_rows(self.dish_ids, _sum(self.w, self.tables, len(self.dish_ids)), self.ids[self.split], customers[self.split], tables[self.split], low)
 
     def hear(self, answers: list[dict], parent: dict) -> None:
         """Take the parent's probabilities and the totals of split restaurants."""
@@ -404,33 +517,44 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     tokens = max(1, size // 6)
     n_words, n_pairs = max(1, tokens // WORDS_PER_BUCKET), max(1, tokens // PAIRS_PER_BUCKET)
     part = PAIRS_PER_BUCKET // 2
+    shift, parent_shift = _shift(chunks.count()), _shift(n_pairs)
 
     def ask_words(batches):
         for r in _rows(batches):
-            keys, count = np.frombuffer(r["words"], np.uint64), unpack(r["count"])
-            bucket = ((keys >> np.uint64(32)) * np.uint64(n_words) >> np.uint64(32)).astype(np.int64)
-            out = [{"bucket": b, "chunk": r["chunk"], "keys": pack(_steps(keys[x:y])), "count": pack(count[x:y])} for b, x, y in _runs(bucket)]
+            out = [x | {"chunk": r["chunk"]} for x in _word_rows(np.frombuffer(r["words"], np.uint64), unpack(r["count"]), n_words, shift)]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("count", pa.binary())]))
 
     asked = chunks.select("chunk", "words", "count").mapInArrow(ask_words, "bucket bigint, chunk bigint, keys binary, count binary")
-    counts, (total, distinct, once, twice, _, low) = _answered(asked, _answer_words, "chunk", chunk_buckets)
+    counts, (total, distinct, once, twice, _, low) = _answered_in_groups(asked, _answer_words, "chunk", chunk_buckets, shift, _added_words(n_words), _split_words)
     known = chunks.join(counts, "chunk")
 
+    pair_schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("u", "w", "count", "split"))])
+    pair_fields = "bucket bigint, chunk bigint, u binary, w binary, count binary, split binary"
+
     def ask_pairs(batches):
-        schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("u", pa.binary()), ("w", pa.binary()), ("count", pa.binary()), ("split", pa.binary())])
         for r in _rows(batches):
             c, ids, seen = _chunk(r, low)
-            bucket, order = c.dealt(ids, seen, n_pairs, part)
-            u, w, n, split = ids[c.u[order]], ids[c.w[order]], c.pair_count[order], seen[c.u[order]] >= part
-            yield pa.RecordBatch.from_pylist([{"bucket": b, "chunk": r["chunk"], "u": pack(_steps(u[x:y])), "w": pack(w[x:y]), "count": pack(n[x:y]), "split": np.packbits(split[x:y]).tobytes()} for b, x, y in _runs(bucket[order])], schema)
+            bucket, order = c.dealt(ids, seen, n_pairs, part, shift)
+            bucket, u, w, n, split = bucket[order], ids[c.u[order]], ids[c.w[order]], c.pair_count[order], seen[c.u[order]] >= part
+            out = [{"bucket": b, "chunk": r["chunk"], "u": pack(_steps(u[x:y])), "w": pack(w[x:y]), "count": pack(n[x:y]), "split": np.packbits(split[x:y]).tobytes(), **({"sub": pack(bucket[x:y] - (b << shift))} if shift else {})} for b, x, y in _runs(bucket >> shift)]
+            yield pa.RecordBatch.from_pylist(out, pair_schema.append(pa.field("sub", pa.binary())) if shift else pair_schema)
+
+    def ask_pairs_in_groups(batches):
+        for r in _rows(batches):
+            (bucket, u, w, n, split), _ = _added_pairs(r["parts"])
+            first = r["at"] >> shift << shift
+            yield pa.RecordBatch.from_pylist([{"bucket": first + b, "chunk": r["at"], "u": pack(_steps(u[x:y])), "w": pack(w[x:y]), "count": pack(n[x:y]), "split": np.packbits(split[x:y]).tobytes()} for b, x, y in _runs(bucket.astype(np.int64))], pair_schema)
 
     def gather(batches):
         for (bucket,), rows in common.grouped(batches, ["bucket"]):
             held, sums = _gathered(bucket, list(rows))
-            held |= {"asks": Restaurants(held, 0.5).asks(low), "once": sums[0], "twice": sums[1]}
+            held |= {"asks": Restaurants(held, 0.5).asks(low + parent_shift), "once": sums[0], "twice": sums[1]}
             yield pa.RecordBatch.from_pylist([held], pa.schema([("bucket", pa.int64()), ("pairs", pa.binary()), ("places", pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())]))), ("asks", _ASK), ("once", pa.int64()), ("twice", pa.int64())]))
 
-    asked = known.select("chunk", "train", "n", "tokens", "answers").mapInArrow(ask_pairs, "bucket bigint, chunk bigint, u binary, w binary, count binary, split binary")
+    asked = known.select("chunk", "train", "n", "tokens", "answers").mapInArrow(ask_pairs, pair_fields + (", sub binary" if shift else ""))
+    if shift:
+        held_pairs = _held(asked, "chunk", shift, chunk_buckets)
+        asked = held_pairs.mapInArrow(ask_pairs_in_groups, pair_fields)
     gathered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, f"bucket bigint, pairs binary, places array<struct<chunk:bigint,places:binary>>, asks {_ASKS}, once bigint, twice bigint")
     pair_buckets = min(n_pairs, common.bucket_count(size))
     pairs = common.bucketed(gathered, "bucket", pair_buckets)
@@ -445,7 +569,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
 
     for k in range(len(SWEEPS)):
         asked = state.select(F.col("bucket").alias("asker"), F.explode("asks").alias("a")).select("asker", "a.*")
-        answers, (customers, tables, *_) = _answered(asked, _answer_parent(parent, k, low), "asker", pair_buckets)
+        answers, (customers, tables, *_) = _answered_in_groups(asked, _answer_parent(parent, k, low), "asker", pair_buckets, parent_shift, _added_parent(low), _split_parent)
         parent = parent | {"customers": customers, "tables": tables}
         if k == len(SWEEPS) - 1:
             break
@@ -455,7 +579,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
                 held = Restaurants(r, discount)
                 held.hear(r["answers"], parent)
                 held.turn(k)
-                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "tables": pack(held.tables), "asks": held.asks(low)}], _STATE)
+                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "tables": pack(held.tables), "asks": held.asks(low + parent_shift)}], _STATE)
 
         before, state = state, common.bucketed(heard(answers).mapInArrow(turn, f"bucket bigint, tables binary, asks {_ASKS}"), "bucket", pair_buckets)
         common.dropped(answers)
@@ -471,12 +595,24 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
                 some = r["places"][k : k + 64]
                 yield pa.RecordBatch.from_pylist([{"chunk": x["chunk"], "from": r["bucket"], "payload": pack(logs[np.cumsum(unpack(x["places"]), dtype=np.uint64).astype(np.int64)])} for x in some], pa.schema([("chunk", pa.int64()), ("from", pa.int64()), ("payload", pa.binary())]))
 
-    logs = heard(answers, "places").mapInArrow(finish, "chunk bigint, from bigint, payload binary").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("from", "payload"))).alias("logs"))
+    def finish_in_groups(batches):
+        for r in _rows(batches):
+            logs = np.concatenate([unpack(a["payload"]) for a in r["logs"]])
+            chunk, places = [p["chunk"] for p in r["parts"]], _added_pairs(r["parts"])[1]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([r["at"] >> shift] * len(chunk), pa.int64()), pa.array([pack(logs[p]) for p in places], pa.binary())], ["chunk", "from", "payload"])
+
+    def by_asker(logs: DataFrame, asker: str) -> DataFrame:
+        return logs.groupBy(F.col("chunk").alias(asker)).agg(F.sort_array(F.collect_list(F.struct("from", "payload"))).alias("logs"))
+
+    logs = heard(answers, "places").mapInArrow(finish, "chunk bigint, from bigint, payload binary")
+    if shift:
+        logs = held_pairs.join(by_asker(logs, "at"), "at").mapInArrow(finish_in_groups, "chunk bigint, from bigint, payload binary")
+    logs = by_asker(logs, "chunk")
 
     def judge(batches):
         for r in _rows(batches):
             c, ids, seen = _chunk(r, low)
-            _, order = c.dealt(ids, seen, n_pairs, part)
+            _, order = c.dealt(ids, seen, n_pairs, part, shift)
             pair = np.empty(len(order))
             pair[order] = np.concatenate([unpack(a["payload"]) for a in r["logs"]]) / -_SCALE
             n, count = len(c.n_tokens), seen[c.word]

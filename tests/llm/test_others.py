@@ -183,6 +183,21 @@ def test_language_model(spark, monkeypatch):
         assert r.n_tokens == want[i].n_tokens and (held[7] or math.isclose(r.base_score, want[i].base_score, rel_tol=1e-9) and math.isclose(r.score, want[i].score, rel_tol=0.2, abs_tol=1))
 
 
+def test_language_model_in_groups(spark, monkeypatch):
+    """Askers that meet in groups get the very numbers that they get alone."""
+    for name, value in (("CHUNK", 500), ("WORDS_PER_BUCKET", 150), ("PAIRS_PER_BUCKET", 300)):
+        monkeypatch.setattr(py, name, value)
+    df = spark.createDataFrame(list(enumerate(lm_docs())), "doc_id long, text string").repartition(3)
+    want = {r.id: r for r in py.score(df).collect()}
+    for many in (2, 5):
+        monkeypatch.setattr(py, "GROUP", many)
+        got = {r.id: r for r in py.score(df).collect()}
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (want[i].n_tokens, want[i].n_known, want[i].train_tokens)
+            assert math.isclose(r.base_score, want[i].base_score, rel_tol=1e-9) and math.isclose(r.score, want[i].score, rel_tol=1e-9)
+
+
 def seated(texts, buckets=1):
     """Restaurants of texts that are all learned, in one or more buckets, and what the words' bucket answers."""
     n, hashes, place = py.tokenized(texts)
