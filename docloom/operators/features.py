@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Last years of the training and validation periods.
 TRAIN_END, VALIDATION_END = 2019, 2021
+#: Spans of time that an as-of join without keys is dealt to.
+BINS = 200
 
 
 def lagged(series: DataFrame, order: str, value: str, lags: int = 4) -> DataFrame:
@@ -29,18 +31,35 @@ def as_of(left: DataFrame, right: DataFrame, at: str, available: str, values: li
     """``left`` with the latest ``right`` values available at ``at`` (before it, if ``strict``).
 
     Both sides are united and sorted once by key and time; the last values seen are carried forward.  No row meets
-    another in a product, and keys are dealt over the cluster.  Without keys a time bucket would be needed for large
-    inputs; quarterly series are small.
+    another in a product, and keys are dealt over the cluster.  Without keys, spans of time with about as many rows each are:
+    the last values of a span, a row a span, are carried to the next ones.  What is available at an unknown time never is.
     """
     by = by or []
     l_cols = left.columns
     side = F.lit(1 if not strict else 0)
-    a = left.select(*[F.col(c).alias(f"__l_{c}") for c in l_cols], *[F.col(c).alias(f"__k_{c}") for c in by], F.col(at).alias("__t"), side.alias("__s"), F.lit(True).alias("__left"))
-    b = right.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col(available).alias("__t"), (1 - side).alias("__s"), F.lit(False).alias("__left"), F.struct(*values).alias("__v"))
+    a = left.select(F.struct(*l_cols).alias("__l"), *[F.col(c).alias(f"__k_{c}") for c in by], F.col(at).alias("__t"), side.alias("__s"), F.lit(True).alias("__left"))
+    b = right.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col(available).alias("__t"), (1 - side).alias("__s"), F.lit(False).alias("__left"), F.when(F.col(available).isNotNull(), F.struct(*values)).alias("__v"))
     both = a.unionByName(b, allowMissingColumns=True)
+    if not by:
+        return _carried(both, l_cols, values)
     w = Window.partitionBy(*[f"__k_{c}" for c in by]).orderBy("__t", "__s").rowsBetween(Window.unboundedPreceding, 0)
     carried = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__left")
-    return carried.select(*[F.col(f"__l_{c}").alias(c) for c in l_cols], *[F.col(f"__v.{c}").alias(c) for c in values])
+    return carried.select(*[F.col("__l")[c].alias(c) for c in l_cols], *[F.col(f"__v.{c}").alias(c) for c in values])
+
+
+def _carried(both: DataFrame, l_cols: list[str], values: list[str]) -> DataFrame:
+    """The as-of join of united sides without keys, dealt to spans of time."""
+    edges = both.agg(F.percentile_approx("__t", [k / BINS for k in range(1, BINS)])).first()[0] or []
+    later = [F.coalesce((F.col("__t") > F.lit(e)).cast("int"), F.lit(0)) for e in sorted(set(edges))]
+    dealt = both.withColumn("__bin", reduce(lambda x, y: x + y, later, F.lit(0)))
+    latest = F.max_by("__v", F.when(~F.col("__left"), F.struct("__t", "__s")))
+    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+    start = dealt.groupBy("__bin").agg(latest.alias("__last")).select(F.col("__bin").alias("__span"), F.last("__last", ignorenulls=True).over(before).alias("__before"))
+    start = both.sparkSession.createDataFrame(start.collect(), start.schema)  # spans at most; the plan then reads both sides once
+    within = Window.partitionBy("__bin").orderBy("__t", "__s").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("__v", F.last("__v", ignorenulls=True).over(within)).where("__left").join(F.broadcast(start), F.col("__bin").eqNullSafe(F.col("__span")))
+    known = F.when(F.col("__t").isNotNull(), F.coalesce("__v", "__before"))
+    return found.withColumn("__v", known).select(*[F.col("__l")[c].alias(c) for c in l_cols], *[F.col(f"__v.{c}").alias(c) for c in values])
 
 
 def next_period_label(series: DataFrame, order: str, close: str) -> DataFrame:

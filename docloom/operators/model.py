@@ -10,13 +10,15 @@ import json
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import evaluate
 
 # Fixed value: the seed of every random step.
 SEED = 42
+#: Bins of rows that are numbered one by one.
+BINS = 1024
 
 
 def scaled(train: DataFrame, every: DataFrame, features: list[str]) -> DataFrame:
@@ -55,24 +57,31 @@ def predictions(model, rows: DataFrame, label: str = "label") -> DataFrame:
     return done.select(*[c for c in rows.columns if c != "features"], F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("p"))
 
 
-def _replaced(i: int) -> Column:
-    """``__x`` with ``__v`` at position i."""
-    return F.transform("__x", lambda x, k: F.when(k == i, F.col("__v")).otherwise(x))
+def _numbered(rows: DataFrame, key: str, salt: str) -> DataFrame:
+    """``rows`` with ``__i``, their place in the order of a salted hash of the key, from 1 on.
+
+    Rows are dealt to ``BINS`` bins by their hash and ranked within them; only the bins' counts are summed up in one task.
+    """
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(salt))
+    dealt = rows.withColumn("__bin", F.pmod(h, F.lit(BINS)))
+    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    start = dealt.groupBy("__bin").agg(F.count("*").alias("__n")).select("__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    ranked = dealt.withColumn("__k", F.row_number().over(Window.partitionBy("__bin").orderBy(h, key)))
+    return ranked.join(F.broadcast(start), "__bin").withColumn("__i", F.col("__start") + F.col("__k")).drop("__bin", "__k", "__start")
 
 
 def permutation_importance(model, rows: DataFrame, features: list[str], label: str = "label", key: str = "quarter_start") -> list[tuple[str, float]]:
-    """Accuracy lost when one feature is shuffled, in the order of a hash of the key."""
-    values = vector_to_array("features")
-    plain = model.transform(rows).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-    out = []
-    for i, name in enumerate(features):
-        order, other = Window.orderBy(key), Window.orderBy(F.md5(F.col(key).cast("string")))
-        held = rows.withColumns({"__x": values, "__i": F.row_number().over(order), "__j": F.row_number().over(other)})
-        moved = held.select(F.col("__j").alias("__i"), F.col("__x")[i].alias("__v"))
-        shuffled = held.join(moved, "__i").withColumn("features", array_to_vector(_replaced(i)))
-        got = model.transform(shuffled).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-        out.append((name, plain - got))
-    return sorted(out, key=lambda x: -x[1])
+    """Accuracy lost when one feature takes another row's value; which row's, follows from hashes of the key.
+
+    One job: each row is judged as it is and once for every feature, and only the shares come to the driver.
+    """
+    held = rows.select(key, label, vector_to_array("features").alias("__x"))
+    other = _numbered(held, key, "other").select("__i", F.col("__x").alias("__other"))
+    every = _numbered(held, key, "own").join(other, "__i").withColumn("__f", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    moved = F.transform("__x", lambda x, k: F.when(k == F.col("__f"), F.get("__other", k)).otherwise(x))
+    judged = model.transform(every.withColumn("features", array_to_vector(moved)))
+    hits = dict(judged.groupBy("__f").agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).collect())
+    return sorted(((name, hits[-1] - hits[i]) for i, name in enumerate(features) if hits), key=lambda x: -x[1])
 
 
 def report(predicted: DataFrame, label: str = "label") -> str:

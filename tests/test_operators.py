@@ -1,16 +1,21 @@
 import datetime as dt
+import functools
 import gzip
 import http.server
 import json
+import random
 import threading
 import time
 import urllib.robotparser
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom import config, pipeline
 from docloom.operators import crawl, dedup, evaluate, features, graph, model, signals
+from docloom.plans import catalog
 from docloom.sources import documents, domains, fetch, seeds
 from docloom.streaming import jobs
 
@@ -116,6 +121,89 @@ def test_as_of_strict_and_ties(spark):
     assert {r.id: r.v for r in features.as_of(left, right, "t", "at", ["v"], strict=True).collect()} == {1: None, 2: "a", 3: None}
 
 
+def test_as_of_without_keys(spark, monkeypatch):
+    rng = random.Random(4)
+    day = lambda: dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(400))
+    left = [(i, day()) for i in range(300)] + [(300, None)]
+    right = [(d, i) for i, d in enumerate(sorted({day() for _ in range(120)}))]
+    l = spark.createDataFrame(left, "i int, at date")
+    r = spark.createDataFrame([*right, (None, 999)], "since date, n int")
+    for bins in (1, 7, 200):
+        monkeypatch.setattr(features, "BINS", bins)
+        for strict in (False, True):
+            got = {x.i: x.n for x in features.as_of(l, r, "at", "since", ["n"], strict=strict).collect()}
+            ok = lambda since, at: since < at or (since == at and not strict)  # noqa: B023, E731
+            assert got == {i: None if at is None else max((n for since, n in right if ok(since, at)), default=None) for i, at in left}
+    assert features.as_of(l.limit(0), r, "at", "since", ["n"]).count() == 0
+    assert features.as_of(l, r.limit(0), "at", "since", ["n"]).where("n IS NULL").count() == 301
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of values; nulls leave the hash as it is."""
+    xxhash, h = pytest.importorskip("xxhash"), 42
+    for v in values:
+        if isinstance(v, dt.date):
+            v = np.int32((v - dt.date(1970, 1, 1)).days)
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else np.array(v).tobytes()
+            h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) * (h >> 63)
+
+
+def test_data_hash_against_brute_force(spark, small):
+    rows = spark.read.parquet(f"{small}/orders.parquet").selectExpr("o_orderkey", "o_totalprice", "CAST(o_orderdate AS DATE) AS at").collect()
+    key = np.int64 if spark.read.parquet(f"{small}/orders.parquet").schema["o_orderkey"].dataType.simpleString() == "bigint" else np.int32
+    hashes = [spark_hash(r.at, key(r.o_orderkey), np.float64(r.o_totalprice)) for r in rows]
+    got = catalog.QUERIES["train_hash"](spark, small).first()
+    assert (got.n_rows, got.hash, int(got.checksum)) == (len(rows), functools.reduce(int.__xor__, hashes), sum(hashes))
+
+
+def test_bootstrap_against_brute_force(spark):
+    rows = [(i, int(i % 7 > 1)) for i in range(400)]
+    got = evaluate.bootstrap(spark.createDataFrame(rows, "k long, ok int"), "k", "ok").first()
+    edges, means = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340), []
+    for b in range(100):
+        w = [sum(spark_hash(np.int64(k), np.int32(b)) % (1 << 20) / (1 << 20) >= e for e in edges) for k, _ in rows]
+        means.append(sum(x * ok for x, (_, ok) in zip(w, rows)) / sum(w))
+    assert np.allclose((got.low, got.high), np.percentile(means, [2.5, 97.5]), atol=1e-12)
+    assert got.low < sum(ok for _, ok in rows) / len(rows) < got.high
+
+
+def test_logistic_against_newton(spark, small):
+    """The query's coefficients against Newton's method on series that DuckDB makes."""
+    q = duckdb.sql(f"""SELECT date_trunc('quarter', CAST(o_orderdate AS DATE)) AS q, avg(o_totalprice) AS close, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0 END) AS urgent
+        FROM '{small}/orders.parquet' GROUP BY 1 ORDER BY 1""").fetchall()
+    rows = [((q[i - 1][2], q[i - 2][2]), float(q[i + 1][1] > q[i][1]), q[i][0].year + 22) for i in range(2, len(q) - 1)]
+    x, y, year = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    train, check = year <= 2019, (year > 2019) & (year <= 2021)
+    x = (x - x[train].mean(0)) / x[train].std(0, ddof=1)
+    x = np.column_stack([x, np.ones(len(x))])
+    best = None
+    for strength in (0.01, 0.1, 1.0):
+        w, penalty = np.zeros(3), np.diag([strength, strength, 0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-x[train] @ w))
+            gradient = x[train].T @ (p - y[train]) / train.sum() + penalty @ w
+            w -= np.linalg.solve((x[train].T * (p * (1 - p))) @ x[train] / train.sum() + penalty, gradient)
+        hits = ((x[check] @ w > 0) == y[check]).mean()
+        if best is None or hits > best[0]:
+            best = hits, w
+    got = {r.feature: r.coefficient for r in catalog.QUERIES["model_lr"](spark, small).collect()}
+    assert np.allclose([got["urgent_lag1"], got["urgent_lag2"]], best[1][:2], atol=2e-4)
+
+
+def test_permutation_importance(spark):
+    rng = random.Random(2)
+    rows = [(i, float(x), rng.random(), x, "train" if i < 200 else "validation") for i, x in enumerate(rng.randrange(2) for _ in range(300))]
+    data = spark.createDataFrame(rows, "quarter_start int, x double, noise double, label int, split string")
+    fitted, scaled = model.logistic(data, ["x", "noise"])
+    (first, lost), (second, nothing) = model.permutation_importance(fitted, scaled, ["x", "noise"])
+    assert (first, second) == ("x", "noise") and 0.35 < lost < 0.65 and abs(nothing) < 0.02
+    numbers = [r["__i"] for r in model._numbered(scaled, "quarter_start", "own").orderBy("quarter_start").collect()]
+    assert sorted(numbers) == list(range(1, 301)) and numbers != sorted(numbers)
+    assert model.permutation_importance(fitted, scaled.limit(0), ["x", "noise"]) == []
+
+
 def test_labels_and_splits(spark):
     s = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 2.0)], "q int, close double")
     assert [r.label for r in features.next_period_label(s, "q", "close").orderBy("q").collect()] == [1, 0, None]
