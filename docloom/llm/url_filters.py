@@ -8,8 +8,9 @@ keys, level 2 one of the universe's keys that level 1 admits wrongly, level 3 on
 admits, and so on until nothing is admitted wrongly.  The first level that rejects a key tells whether it is listed:
 exact for every key of the universe, with no join when URLs are judged.  Level 1 is sized so that about as many
 keys of the universe as there are listed ones pass, so the levels together need a few bits for each listed key and
-each doubling of the universe.  They are put into the plan as one constant, of at most ``MAX_BITS``; a longer list
-is judged by :func:`judge_by_join`.
+each doubling of the universe.  The bits of a level stand in the plan once, as a constant of bytes.  A list whose first
+level would need more than about ``MAX_BITS`` is dealt by the hash of its keys to parts with a cascade each; URLs are
+judged part by part, each time only for their keys of that part, and the best rule so far is kept in the shared folder.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; the longest fitting
 rule wins, of equally long ones that with the longer host, then the blocking one; repeated rows are judged one by
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of one cascade that may stand in a plan: 2 MB.
+#: Bits of one level that may stand in a plan, 2.4 MB as bytes of seven bits.
 MAX_BITS = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OUT = ("host", "path", "rule", "verdict")
@@ -49,27 +50,39 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when((host != "") & F.lit(bool(lengths)), keys).otherwise(F.array().cast("array<string>"))
 
 
+def _bits(n: int, rate: float) -> int:
+    """Bits of a filter of ``n`` keys that admits a share ``rate`` of others: whole words of 56."""
+    return -(-max(56, math.ceil(n * math.log2(1 / rate) * 1.4427)) // 56) * 56
+
+
 class Bloom:
-    """Bits of one level; ``words`` are its 64-bit words."""
+    """Bits of one level; ``data`` has seven in each byte, so that a byte is a character."""
 
-    def __init__(self, keys: DataFrame, n: int, rate: float, level: int):
-        bits = max(64, math.ceil(n * math.log2(1 / rate) * 1.4427))
-        self.bits, self.hashes, self.level = (bits + 63) // 64 * 64, max(1, round(math.log2(1 / rate))), level
-        if self.bits > MAX_BITS:
+    def __init__(self, keys: DataFrame, n: int, rate: float, level: int, bounded: bool = True):
+        self.bits, self.hashes, self.level = _bits(n, rate), max(1, round(math.log2(1 / rate))), level
+        if bounded and self.bits > MAX_BITS:
             raise OverflowError(f"the list needs {self.bits} bits, more than {MAX_BITS}")
         at = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("at"))
-        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))
-        words = at.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
-        held = {r["word"]: r["bits"] for r in words.collect()}  # at most bits / 64 rows
-        self.words = [held.get(i, 0) for i in range(self.bits // 64)]
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 56).cast("int"))
+        words = at.groupBy(F.floor(F.col("at") / 56).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
+        self.data = bytearray(self.bits // 7)
+        for word, bits in words.collect():  # at most bits / 56 rows
+            self.data[8 * word : 8 * word + 8] = bytes(bits >> 7 * k & 127 for k in range(8))
 
     def places(self, key: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(key, F.lit(self.level), F.lit(j)), F.lit(self.bits)) for j in range(self.hashes)]
 
     def admits(self, key: Column) -> Column:
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant
-        tests = [F.getbit(F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1 for p in self.places(key)]
-        return reduce(lambda a, b: a & b, tests)
+        def tests(data: Column) -> Column:
+            byte = lambda p: F.ascii(F.substr(data, F.floor(p / 7).cast("int") + 1, F.lit(1)).cast("string"))
+            return reduce(lambda a, b: a & b, [F.getbit(byte(p), (p % 7).cast("int")) == 1 for p in self.places(key)])
+
+        return common.let(F.lit(bytes(self.data)), tests)
+
+
+def first_rate(n: int, n_universe: int) -> float:
+    """Share of the universe that level 1 may admit wrongly, so that these keys are about as many as the listed ones."""
+    return min(0.5, n * 0.7 / max(1, n_universe))
 
 
 class Cascade:
@@ -81,14 +94,14 @@ class Cascade:
         self.levels: list[Bloom] = []
         if not n:
             return
-        first = Bloom(listed, n, min(0.5, n * 0.7 / max(1, n_universe)), 1)
+        first = Bloom(listed, n, first_rate(n, n_universe), 1, bounded=False)
         # Wrongly admitted: seen in the universe, never in the list.  Few keys pass the filter, so little is shuffled.
         passed = universe.where(first.admits(F.col("key"))).select("key", F.lit(0).alias("on"))
         both = passed.unionByName(listed.select("key", F.lit(1).alias("on")))
         wrong = common.checkpointed(both.groupBy("key").agg(F.max("on").alias("on")).where("on = 0").select("key"))
         self.levels, here, there = [first], listed, wrong
         while n_wrong := there.count():
-            level = Bloom(there, n_wrong, 0.5, len(self.levels) + 1)
+            level = Bloom(there, n_wrong, 0.5, len(self.levels) + 1, bounded=False)
             self.levels.append(level)
             here, there = there, common.checkpointed(here.where(level.admits(F.col("key"))))
 
@@ -100,9 +113,12 @@ class Cascade:
         return found
 
 
-def _prepared(pages: DataFrame, url: str, lengths: list[int]) -> DataFrame:
+def _prepared(pages: DataFrame, url: str) -> DataFrame:
     host, path = parts(F.col(url))
-    df = pages.drop(*(c for c in OUT if c != url)).withColumns({"__host": host, "__path": path})
+    return pages.drop(*(c for c in OUT if c != url)).withColumns({"__host": host, "__path": path})
+
+
+def _keyed(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df.withColumn("__keys", common.barrier(common.let(F.struct("__host", "__path"), lambda x: candidates(x["__host"], x["__path"], lengths))))
 
 
@@ -112,10 +128,13 @@ def _lengths(rules: DataFrame) -> list[int]:
     return sorted(r[0] for r in rules.select(F.length(path)).distinct().collect())
 
 
-def _chosen(fits: Column) -> Column:
-    """The winner of an array of fitting keys: the longest, then that with the longest host."""
-    ranked = F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), F.length(F.regexp_extract(k, "^[^/]*", 0)).alias("h"), k.alias("key")))
-    return F.array_max(ranked)["key"]
+def _part(key: Column, n_parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(n_parts))
+
+
+def _ranked(key: Column, blocks: Column) -> Column:
+    """A fitting key, in the order of precedence: the longest, then that with the longest host."""
+    return F.struct(F.length(key).alias("n"), F.length(F.regexp_extract(key, "^[^/]*", 0)).alias("h"), key.alias("key"), blocks.alias("blocks"))
 
 
 def _verdict(df: DataFrame, pages: DataFrame, blocked: Column, default: str) -> DataFrame:
@@ -130,24 +149,34 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     Three reads of the URL column: the size of the universe, its wrongly admitted keys, the verdicts.
     """
     lengths = _lengths(rules)
-    df = _prepared(pages, url, lengths)
-    universe = df.select(F.explode("__keys").alias("key"))
-    n = universe.agg(F.approx_count_distinct("key")).first()[0]
-    try:
-        block, allow = (Cascade(rules.where(F.col("action") == action), universe, n) for action in ("block", "allow"))
-    except OverflowError:
-        return judge_by_join(pages, rules, url, default)
-    df = df.withColumn("__rule", common.barrier(_chosen(F.filter("__keys", lambda k: block.holds(k) | allow.holds(k)))))
-    return _verdict(df, pages, block.holds(F.col("__rule")), default)
+    df = _prepared(pages, url)
+    n = _keyed(df, lengths).select(F.explode("__keys").alias("key")).agg(F.approx_count_distinct("key")).first()[0]
+    listed = common.checkpointed(rules.where(F.col("action").isin("block", "allow")).select("key", "action").distinct())
+    sizes = [r["count"] for r in listed.groupBy("action").count().collect()]  # two rows at most
+    n_parts = max([1, *(math.ceil(_bits(m, first_rate(m, n)) / max(56, MAX_BITS)) for m in sizes)])
+    best = None
+    for k in range(n_parts):
+        here = _keyed(df, lengths)
+        if n_parts > 1:
+            here = here.withColumn("__keys", common.barrier(F.filter("__keys", lambda key: _part(key, n_parts) == k)))
+        universe = here.select(F.explode("__keys").alias("key"))
+        block, allow = (Cascade(listed.where((F.col("action") == action) & (_part(F.col("key"), n_parts) == k)), universe, n // n_parts) for action in ("block", "allow"))
+        tested = F.transform("__keys", lambda x: F.struct(x.alias("key"), block.holds(x).alias("blocks"), allow.holds(x).alias("allows")))
+        fits = F.filter(tested, lambda x: x["blocks"] | x["allows"])
+        top = F.array_max(F.transform(fits, lambda x: _ranked(x["key"], x["blocks"])))
+        df = here.withColumn("__best", common.barrier(top if best is None else F.greatest("__best", top))).drop("__keys")
+        best = "__best"
+        if k < n_parts - 1:
+            df = common.written(df)
+    return _verdict(df.withColumn("__rule", F.col("__best.key")), pages, F.col("__best.blocks"), default)
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """The same verdicts for lists that are too long for a constant: each distinct pair of host and path meets the list in a shuffled join."""
-    df = _prepared(pages, url, _lengths(rules))
+    """The same verdicts by a shuffled join of the distinct pairs of host and path with the list.  :func:`judge` never uses it; it checks."""
+    df = _keyed(_prepared(pages, url), _lengths(rules))
     listed = rules.groupBy("key").agg(F.max(F.col("action") == "block").alias("blocks"))
     fits = df.select("__host", "__path", F.explode("__keys").alias("key")).distinct().join(listed, "key")
-    ranked = F.struct(F.length("key").alias("n"), F.length(F.regexp_extract("key", "^[^/]*", 0)).alias("h"), "key", "blocks")
-    best = fits.groupBy("__host", "__path").agg(F.max(ranked).alias("__best"))
+    best = fits.groupBy("__host", "__path").agg(F.max(_ranked(F.col("key"), F.col("blocks"))).alias("__best"))
     df = df.join(best, ["__host", "__path"], "left").withColumn("__rule", F.col("__best.key"))
     return _verdict(df, pages, F.col("__best.blocks"), default)
 

@@ -148,6 +148,22 @@ def test_cascade_too_large(spark, monkeypatch):
     assert {r.page_id: r.verdict for r in uf.judge(pages, rules).collect()} == {i: verdict(u)[3] for i, u in enumerate(URLS)}
 
 
+def test_long_list_in_parts(spark, monkeypatch):
+    rules = spark.range(3000).selectExpr("concat('h', id % 700, '.com/p', id) AS key", "IF(id % 3 = 0, 'allow', 'block') AS action")
+    pages = spark.range(6000).selectExpr("id AS page_id", "concat('http://www.h', id % 900, '.com/p', id, '/x') AS url", "id AS rule")
+    want = {tuple(r) for r in uf.judge_by_join(pages, rules).collect()}
+    cascades = []
+    made = uf.Cascade
+    monkeypatch.setattr(uf, "Cascade", lambda *a: cascades.append(made(*a)) or cascades[-1])
+    for most in (1 << 24, 9000):
+        monkeypatch.setattr(uf, "MAX_BITS", most)
+        cascades.clear()
+        got = uf.judge(pages, rules)
+        assert {tuple(r) for r in got.collect()} == want and got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+        assert (len(cascades) == 2) == (most > 9000)
+        assert most > 9000 or all(level.bits < 2 * most for c in cascades for level in c.levels)
+
+
 def lm_docs():
     rng = np.random.default_rng(2)
     texts = [" ".join(f"w{min(30, rng.geometric(0.15))}" for _ in range(rng.integers(0, 60))) for _ in range(60)]
